@@ -129,3 +129,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def as_long(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the signed longs that Spark stores."""
     return x.view(np.int64) if x.dtype == _U64 else x.astype(np.int64)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The given words with one space after each, and where each begins and ends in that."""
+    sizes = ends - starts
+    upto = np.cumsum(sizes + 1)
+    to = upto - sizes - 1
+    joined = np.full(int(upto[-1]) if len(upto) else 0, 32, np.uint8)
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    joined[inner + np.repeat(to, sizes)] = data[inner + np.repeat(starts, sizes)]
+    return joined, to, to + sizes

@@ -30,3 +30,46 @@ FROM slim JOIN budgets b ON slim.source IS NOT DISTINCT FROM b.source LEFT JOIN
 """
 
 ORACLES: dict[str, str] = {"op1_mixing": OP1}
+
+#: Beta-binomial moments of one level, as in reputation.host_reputation.
+_LEVEL = """
+{name}_sum AS (SELECT count(*) AS k, sum(n) AS n, sum(good) AS good, sum(n * n) AS sq, sum(good) * 1.0::DOUBLE / sum(n) AS p FROM {name}),
+{name}_spread AS (
+  SELECT s.p, (SELECT sum(n * pow(good * 1.0::DOUBLE / n - s.p, 2)) FROM {name}) AS between, s.p * (1 - s.p) * (s.n - s.sq * 1.0::DOUBLE / s.n - (s.k - 1)) AS room, s.k FROM {name}_sum s),
+{name}_fit AS (
+  SELECT p, (1 - r) / r AS strength FROM (
+    SELECT p, least(greatest(CASE WHEN room > 0 THEN (between - p * (1 - p) * (k - 1)) / room ELSE 0.001 END, 0.001), 0.9) AS r FROM {name}_spread)),
+"""
+
+OP6 = (
+    r"""
+WITH parsed AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+hosts AS (
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix,
+    count(*) AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) <> 1 THEN 1 ELSE 0 END) AS good
+  FROM parsed JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
+"""
+    + "".join(_LEVEL.format(name=x) for x in ("hosts", "domains", "suffixes"))
+    + """
+suffix_mean AS (SELECT suffix, (good + f.p * f.strength) / (n + f.strength) AS m FROM suffixes, suffixes_fit f),
+domain_mean AS (SELECT domain, (good + s.m * f.strength) / (n + f.strength) AS m FROM domains d JOIN suffix_mean s ON d.suffix = s.suffix, domains_fit f),
+means AS (SELECT host, (good + d.m * f.strength) / (n + f.strength) AS m, n + f.strength AS total FROM hosts h JOIN domain_mean d ON h.domain = d.domain, hosts_fit f),
+bounds AS (SELECT host, m + 1.645 * sqrt(m * (1 - m) / (total + 1)) AS high FROM means),
+rules(rule_host, rule_path, says) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fitting AS (
+  SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(says, length(rule_host || rule_path)) AS says
+  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.says, CASE WHEN b.high < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed p
+LEFT JOIN (SELECT DISTINCT host, path, rule, says FROM fitting) f ON p.host = f.host AND p.path = f.path
+LEFT JOIN bounds b ON p.host = b.host
+"""
+)
+
+ORACLES["op6_url_filter"] = OP6
