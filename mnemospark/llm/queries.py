@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, repetition, reputation, simhash, substrings, tokens
+from . import lm, mixing, neighbours, packing, quality, repetition, reputation, simhash, substrings, tokens
 from .sql import ORACLES
 
 
@@ -20,6 +20,18 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = reputation.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -41,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op6_url_filter, op7_repetition, op8_simhash, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_language_model, op4_quality, op5_neighbours, op6_url_filter, op7_repetition, op8_simhash, op9_packing, op10_token_counts)}
 ORACLE_SQL = ORACLES
