@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, chunks, joined_words, materialize, word_spans
+from .common import as_long, chunks, joined_words, materialize, mix, word_spans
 from .components import components
 
 BITS = 64
@@ -36,12 +36,15 @@ def covering_masks(radius: int, turn: int = 0) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (int(order[i]) & v).bit_count() % 2 == 1) for v in range(1, n + 1)]
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """One fingerprint per text: bit k is set if over half the shingles' XXH64 values have it."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, lanes: int = 0) -> np.ndarray:
+    """One fingerprint per text: bit k is set if over half the shingles' XXH64 values have it.
+
+    With ``lanes``, a row of so many independent fingerprints each, from remixed values.
+    """
     starts, ends, first = word_spans(data, offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    out = np.zeros((len(offsets) - 1, max(1, lanes)), np.uint64)
     if not len(starts):
-        return out
+        return out if lanes else out[:, 0]
     joined, to, till = joined_words(_LOWER[data], starts, ends)
     text = joined.tobytes()
     n_words = np.diff(first)
@@ -54,17 +57,19 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     full = np.flatnonzero(n)
     heads = np.concatenate([[0], np.cumsum(n[full])])
     step = 1 << 16  # rows of bits at once
-    sums = np.zeros((len(full), BITS), np.int64)
-    at = 0
-    while at < len(values):
-        bits = np.unpackbits(values[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        lo = int(np.searchsorted(heads, at, side="right")) - 1
-        hi = int(np.searchsorted(heads, at + len(bits), side="left"))
-        cuts = np.maximum(heads[lo:hi] - at, 0)
-        sums[lo:hi] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-        at += step
-    out[full] = np.packbits(sums * 2 > n[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    for lane in range(max(1, lanes)):
+        lane_values = mix(values + np.uint64(lane)) if lanes else values
+        sums = np.zeros((len(full), BITS), np.int64)
+        at = 0
+        while at < len(values):
+            bits = np.unpackbits(lane_values[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            lo = int(np.searchsorted(heads, at, side="right")) - 1
+            hi = int(np.searchsorted(heads, at + len(bits), side="left"))
+            cuts = np.maximum(heads[lo:hi] - at, 0)
+            sums[lo:hi] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+            at += step
+        out[full, lane] = np.packbits(sums * 2 > n[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out if lanes else out[:, 0]
 
 
 def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -78,60 +83,62 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (distance <= radius) among distinct fingerprints of one bucket."""
-    rest, out = fps, []
+def bucket_links(rows: np.ndarray, radius: int, apart: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the rows (node, fingerprint, signature lanes) of one bucket: fingerprints
+    within ``radius`` of each other and signatures within ``apart``."""
+    rest, out = rows, []
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = np.bitwise_count(rest[:, 1] ^ x[1]) <= radius
+            if rows.shape[1] > 2 and near.any():
+                near[near] = np.bitwise_count(rest[near, 2:] ^ x[2:]).sum(axis=1) <= apart
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
-                out.extend((int(x), y) for y in found.tolist())
+                out.extend((int(x[0]), y) for y in found[:, 0].tolist())
                 queue.extend(found)
     return out
 
 
-def _bucket_scan(radius: int, large: int | None):
-    """A scan of (bucket, key, fp) rows that come sorted: links of each bucket, or the rows of those beyond ``large``."""
+def _bucket_scan(radius: int, apart: int, lanes: int, large: int | None):
+    """A scan of rows (bucket, key, node, fp, lanes...) that come sorted: links of each bucket as (-1, 0, a, b, ...),
+    and the rows of buckets beyond ``large`` as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "key", "a", "b", *[f"s{k}" for k in range(lanes)]]
         held: list[np.ndarray] = []
         at, size, deferred = None, 0, False
-        a_out: list[int] = []
-        b_out: list[int] = []
-        late: list[tuple[int, int, np.ndarray]] = []
-
-        def flush():
-            if not late and not a_out:
-                return None
-            fps = np.concatenate([x[2] for x in late]) if late else np.zeros(0, np.uint64)
-            n = [len(x[2]) for x in late]
-            bucket = np.concatenate([np.full(len(a_out), -1), np.repeat([x[0] for x in late], n)]).astype(np.int64)
-            key = np.concatenate([np.zeros(len(a_out), np.int64), np.repeat(np.array([x[1] for x in late], np.int64), n)])
-            a = np.concatenate([as_long(np.array(a_out, np.uint64)), as_long(fps)])
-            b = np.concatenate([as_long(np.array(b_out, np.uint64)), np.zeros(len(fps), np.int64)])
-            a_out.clear(), b_out.clear(), late.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(a), pa.array(b)], names=["bucket", "key", "a", "b"])
-
-        def close():
+        links: list[tuple[int, int]] = []
+        late: list[tuple[tuple[int, int], np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            n = [len(x) for _, x in late]
+            rows = np.concatenate([x for _, x in late]) if late else np.zeros((0, 2 + lanes), np.uint64)
+            pairs = np.array(links, np.uint64).reshape(-1, 2)
+            blank = np.zeros((len(pairs), lanes), np.uint64)
+            both = np.concatenate([np.column_stack([pairs, blank]), rows]).view(np.int64)
+            bucket = np.concatenate([np.full(len(pairs), -1), np.repeat([k[0] for k, _ in late], n)]).astype(np.int64)
+            key = np.concatenate([np.zeros(len(pairs), np.int64), np.repeat(np.array([k[1] for k, _ in late], np.int64), n)])
+            links.clear(), late.clear()
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), *[pa.array(both[:, k]) for k in range(2 + lanes)]], names=names)
+
+        def close() -> None:
             nonlocal held, size, deferred
             if deferred:
-                late.append((*at, np.concatenate(held)) if held else (*at, np.zeros(0, np.uint64)))
+                late.extend((at, x) for x in held)
             elif size > 1:
-                for x, y in bucket_links(np.concatenate(held), radius):
-                    a_out.append(x), b_out.append(y)
+                links.extend(bucket_links(np.concatenate(held), radius, apart))
             held, size, deferred = [], 0, False
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            bucket, key, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = np.column_stack(rest).view(np.uint64)
             new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])) + 1
-            heads, tails = np.concatenate([[0], new]), np.append(new, len(fp))
+            heads, tails = np.concatenate([[0], new]), np.append(new, len(rows))
             long = tails - heads > 1
             long[[0, -1]] = True  # these may go on in other batches
             for s, e in zip(heads[long].tolist(), tails[long].tolist()):
@@ -140,49 +147,52 @@ def _bucket_scan(radius: int, large: int | None):
                     if at is not None:
                         close()
                     at = here
-                held.append(fp[s:e].copy())
+                held.append(rows[s:e].copy())
                 size += e - s
                 if large is not None and size > large:
                     deferred = True
-                    late.append((*at, np.concatenate(held)))
+                    late.extend((at, x) for x in held)
                     held = []
-                    if sum(len(x[2]) for x in late) > 1 << 16:
-                        yield flush()
-            if len(a_out) > 1 << 16 and (out := flush()) is not None:
-                yield out
+                if len(links) + sum(len(x) for _, x in late) > 1 << 16:
+                    yield flush()
         if at is not None:
             close()
-        if (out := flush()) is not None:
-            yield out
+        if links or late:
+            yield flush()
 
     return run
 
 
-def _tables(fps: DataFrame, masks: list[int], key: Column | None = None) -> DataFrame:
-    """``(bucket, key, fp)``: every fingerprint in every table; with ``key``, tables inside what ``bucket, key`` name."""
+def _tables(nodes: DataFrame, masks: list[int], key: Column | None = None) -> DataFrame:
+    """``(bucket, key, node, fp, ...)``: every row in every table; with ``key``, tables inside what ``bucket, key`` name."""
     longs = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
-    spread = fps.select("*", F.posexplode(longs).alias("_t", "_mask"))
+    spread = nodes.select("*", F.posexplode(longs).alias("_t", "_mask"))
     part = F.col("fp").bitwiseAND(F.col("_mask"))
+    kept = [c for c in nodes.columns if c not in ("bucket", "key")]
     if key is None:
-        return spread.select(F.col("_t").cast("long").alias("bucket"), part.alias("key"), "fp")
-    return spread.select((F.col("bucket") * len(masks) + F.col("_t")).cast("long").alias("bucket"), F.xxhash64("key", part).alias("key"), "fp")
+        return spread.select(F.col("_t").cast("long").alias("bucket"), part.alias("key"), *kept)
+    return spread.select((F.col("bucket") * len(masks) + F.col("_t")).cast("long").alias("bucket"), F.xxhash64("key", part).alias("key"), *kept)
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET) -> DataFrame:
-    """Links ``(a, b)`` that join every two of the distinct ``fp`` within ``radius`` (through others where they chain).
+def near_links(nodes: DataFrame, radius: int = RADIUS, apart: int = 0, large: int = LARGE_BUCKET) -> DataFrame:
+    """Links ``(a, b)`` that join every two of the distinct ``nodes (node, fp, lanes...)`` that are near (through others
+    where they chain): fp within ``radius`` and, if there are lanes, these within ``apart``.
 
     A bucket's links are a spanning forest, never all its pairs. Buckets over ``large`` go through a second family of
-    masks; what agrees on both families differs in about 16 positions, so those buckets hold at most some 2^16
+    masks; what agrees on both families differs in about 16 positions of fp, so those buckets hold at most some 2^16
     fingerprints whatever the input.
     """
-    n = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = len(nodes.columns) - 2
+    names = [f"s{k}" for k in range(lanes)]
+    schema = ", ".join(f"{c} long" for c in ("bucket", "key", "a", "b", *names))
 
     def scanned(rows: DataFrame, limit: int | None) -> DataFrame:
-        dealt = rows.repartition(int(n), "bucket", "key").sortWithinPartitions("bucket", "key")
-        return dealt.mapInArrow(_bucket_scan(radius, limit), "bucket long, key long, a long, b long")
+        dealt = rows.repartition(n, "bucket", "key").sortWithinPartitions("bucket", "key")
+        return dealt.mapInArrow(_bucket_scan(radius, apart, lanes, limit), schema)
 
-    found = materialize(scanned(_tables(fps, covering_masks(radius)), large), "simhash-links")
-    again = found.filter("bucket >= 0").select("bucket", "key", F.col("a").alias("fp"))
+    found = materialize(scanned(_tables(nodes.toDF("node", "fp", *names), covering_masks(radius)), large), "simhash-links")
+    again = found.filter("bucket >= 0").select("bucket", "key", F.col("a").alias("node"), F.col("b").alias("fp"), *names)
     more = scanned(_tables(again, covering_masks(radius, 1), F.col("key")), None)
     return found.filter("bucket < 0").select("a", "b").union(more.select("a", "b"))
 
@@ -196,9 +206,55 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
     """
     prints = materialize(fingerprint_documents(docs, shingle), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes.select("fp"), radius))
+    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "simhash-nodes")
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The deduplicating stage: candidates by the fingerprint of single words, which small edits hardly move; a signature of
+#: five-word shingles confirms them. Of its 256 bits two texts of Jaccard similarity j differ in about
+#: 256 * acos(2j / (1 + j)) / pi: 39 at 0.8.
+CANDIDATE_SHINGLE = 1
+CONFIRM_SHINGLE = 5
+CONFIRM_LANES = 4
+SIMILARITY = 0.8
+
+
+def apart_at(similarity: float, lanes: int = CONFIRM_LANES) -> int:
+    """The differing signature bits expected at a Jaccard similarity, and half a standard deviation more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = BITS * lanes
+    return int(bits * p + 0.5 * np.sqrt(bits * p * (1 - p)))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest doc_id stays.
+
+    Two texts are linked if their single-word fingerprints lie within ``radius`` and their five-word signatures are as
+    near as similarity ``similarity`` makes them; groups are what links connect. Copies (also of an id) leave one row;
+    a null doc_id stays only if its group has no other; null texts and wordless ones are copies of each other.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            parts = []
+            for _, data, offsets in chunks(pa.RecordBatch.from_arrays([text], names=["text"])):
+                parts.append(np.column_stack([fingerprints(data, offsets, CANDIDATE_SHINGLE), fingerprints(data, offsets, CONFIRM_SHINGLE, CONFIRM_LANES)]))
+            all_ = np.concatenate(parts) if parts else np.zeros((0, 1 + CONFIRM_LANES), np.uint64)
+            yield pa.StructArray.from_arrays([pa.array(as_long(np.ascontiguousarray(all_[:, k]))) for k in range(all_.shape[1])], names=names)
+
+    names = ["fp", *[f"s{k}" for k in range(CONFIRM_LANES)]]
+    prints = arrow_udf(run, ", ".join(f"{c} long" for c in names))
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("doc"), prints(F.col("text")).alias("print"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows.withColumn("node", F.xxhash64(*[F.col(f"print.{c}") for c in names])), "near-rows")
+    ids = rows.select("node", "print", "row", F.col("doc.doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    nodes = materialize(ids.groupBy("node").agg(F.first("print").alias("print"), F.min(order).alias("least")), "near-nodes")
+    roots = components(near_links(nodes.select("node", "print.*"), radius, apart_at(similarity)))
+    kept = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    return rows.join(kept.select(F.col("least.row").alias("row")), "row", "left_semi").select("doc.*")
