@@ -1 +1,4 @@
-"""plans of the conversation-memory engine."""
+"""Registered queries of the conversation-memory engine."""
+
+from . import text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
