@@ -53,7 +53,7 @@ def score_to_unit(score: Column, levels: int) -> Column:
 def fnv1a(text: Column) -> Column:
     """FNV-1a, 32 bits, over the UTF-16 units of a text (M8)."""
     raw = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(0), F.length(raw) / 4 - 1), lambda k: F.conv(F.substring(raw, (k * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(raw) / 4 - 1).cast("int")), lambda k: F.conv(F.substring(raw, k * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
     units = F.when(F.length(raw) > 0, units).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(units, F.lit(FNV_BASIS).cast("bigint"), lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(FNV_PRIME).cast("bigint"), F.lit(1 << 32).cast("bigint")))
 

@@ -18,6 +18,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used: keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def matches(text, pattern: str) -> Column:
     """Whether a neutral pattern occurs."""
     return _col(text).rlike(P.java(pattern))
@@ -49,28 +54,28 @@ def utf16_length(text) -> Column:
 
 def clip(text, most: int = 240) -> Column:
     """Normalised text cut hard at ``most`` with an ellipsis."""
-    value = normalize(text)
-    return F.when(F.length(value) <= most, value).otherwise(F.concat(replace(F.substring(value, 1, max(1, most - 1)), r"\s+$", ""), F.lit("…")))
+    return _once(normalize(text), lambda v: F.when(F.length(v) <= most, v).otherwise(F.concat(replace(F.substring(v, 1, max(1, most - 1)), r"\s+$", ""), F.lit("…"))))
 
 
 def clip_at_clause(text, most: int = 240) -> Column:
     """Normalised text cut after the last clause mark of the strongest tier that lies in its second half (T4)."""
-    value = normalize(text)
-    head = F.substring(value, 1, max(1, most - 1))
-    tail = F.reverse(head)
-    out = replace(head, r"\s+$", "")
-    for tier in reversed(CLAUSE_TIERS):
-        # position from the left of each mark's last occurrence, counted from 1; 0 if it has none
-        last = [F.when(F.locate(mark, tail) > 0, F.length(head) - F.locate(mark, tail) + 1).otherwise(0) for mark in tier]
-        cut = F.greatest(*last) if len(last) > 1 else last[0]
-        out = F.when(cut - 1 >= most // 2, replace(F.substring(head, F.lit(1), cut), r"\s+$", "")).otherwise(out)
-    return F.when(F.length(value) <= most, value).otherwise(F.concat(out, F.lit("…")))
+
+    def cut_head(head: Column) -> Column:
+        out = head
+        for tier in reversed(CLAUSE_TIERS):
+            # position from the left of each mark's last occurrence, counted from 1; 0 if it has none
+            last = [F.length(head) - F.locate(mark, F.reverse(head)) + 1 for mark in tier]
+            last = [F.when(F.contains(head, F.lit(mark)), at).otherwise(0) for mark, at in zip(tier, last)]
+            cut = F.greatest(*last) if len(last) > 1 else last[0]
+            out = F.when(cut - 1 >= most // 2, F.substring(head, F.lit(1), cut)).otherwise(out)
+        return F.concat(replace(out, r"\s+$", ""), F.lit("…"))
+
+    return _once(normalize(text), lambda v: F.when(F.length(v) <= most, v).otherwise(_once(F.substring(v, 1, max(1, most - 1)), cut_head)))
 
 
 def excerpt(text, most: int = 160) -> Column:
     """The first ``most`` characters with an ellipsis if more follow (T5)."""
-    value = normalize(text)
-    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most), F.lit("…")))
+    return _once(normalize(text), lambda v: F.when(F.length(v) <= most, v).otherwise(F.concat(F.substring(v, 1, most), F.lit("…"))))
 
 
 def hash_text(text) -> Column:
@@ -104,8 +109,8 @@ def strip_pasted(text) -> Column:
     value = replace(value, r"^\s*\\+(?:textbf|textit|emph|texttt)\{([^}]*)\}\s*", "$1")
     value = replace(value, r"\/private\/var\/folders\/\S+|\/var\/folders\/\S+|\/tmp\/\S+|modlens-dsh-paste-\S+", "<path>")
     value = trim(replace(value, r"\s{2,}", " "))
-    shorter = trim(replace(value, r"\s*\d{1,2}[.、)）]\s*$", ""))
-    return F.when(F.length(shorter) >= 12, shorter).otherwise(value)
+    shorter = lambda v: trim(replace(v, r"\s*\d{1,2}[.、)）]\s*$", ""))
+    return _once(value, lambda v: _once(shorter(v), lambda s: F.when(F.length(s) >= 12, s).otherwise(v)))
 
 
 def signature(text) -> Column:
@@ -176,8 +181,7 @@ def is_noise(text) -> Column:
 
 def looks_interrogative(text) -> Column:
     """Six anchored question tests."""
-    value = normalize(text)
-    return (value != "") & matches_any(value, P.INTERROGATIVES)
+    return _once(normalize(text), lambda v: (v != "") & matches_any(v, P.INTERROGATIVES))
 
 
 def asserts_decision(text) -> Column:
@@ -208,8 +212,7 @@ def is_noteworthy(reason) -> Column:
 
 def has_diagnostic(detail) -> Column:
     """Whether a failure says more than a bare code."""
-    value = trim(detail)
-    return (value != "") & ~matches(value, P.BARE_ERRORS) & ~matches(value, P.BARE_CODE)
+    return _once(trim(detail), lambda v: (v != "") & ~matches(v, P.BARE_ERRORS) & ~matches(v, P.BARE_CODE))
 
 
 def failure_kept(text) -> Column:

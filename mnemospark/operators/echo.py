@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -34,9 +36,13 @@ def find_echoes(candidates: DataFrame, messages: DataFrame, min_chars: int = 8,
     pairs = earlier_pairs(candidates, messages).withColumns({"needle": T.echo_form("text"), "hay": T.echo_form("said")})
     n = F.length("needle")
     floor = F.greatest(F.lit(min_chars), F.ceil(n * F.lit(min_coverage)).cast("int"))
-    hit = F.filter(echo_windows(F.col("needle"), floor), lambda w: F.contains(F.col("hay"), w["part"]))
+    # a longer window holds the shortest one of its start, so pairs without any of those are done
+    pairs = pairs.filter(n >= min_chars).withColumn("floor", floor).withColumn("shortest", n - 4 * F.floor((n - F.col("floor")) / 4))
+    starts = F.sequence(F.lit(0), (n - F.col("shortest")).cast("int"), F.lit(4))
+    likely = pairs.filter(F.exists(starts, lambda s: F.contains(F.col("hay"), F.substring(F.col("needle"), s + 1, F.col("shortest").cast("int")))))
+    hit = F.filter(echo_windows(F.col("needle"), F.col("floor")), lambda w: F.contains(F.col("hay"), w["part"]))
     size = F.array_max(F.transform(hit, lambda w: w["size"]))
-    found = pairs.filter(n >= min_chars).select("cid", n.alias("n"), size.alias("size")).filter("size is not null")
+    found = likely.select("cid", n.alias("n"), size.alias("size")).filter("size is not null")
     return found.groupBy("cid").agg((F.max("size") / F.first("n")).alias("coverage"))
 
 
@@ -78,9 +84,6 @@ def longest_common(a: str, b: str) -> int:
 def overlap_join(items: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``(iid, lid, share)``: the label ``(lid, session_id, seq, label_text)`` that overlaps an item ``(iid,
     session_id, seq, text)`` of the same message most, by longest common substring over the shorter length (J16)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("int")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([longest_common(x or "", y or "") for x, y in zip(a, b)], dtype="int32")

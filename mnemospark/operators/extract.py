@@ -45,9 +45,11 @@ def sentence_candidates(messages: DataFrame, config: ExtractConfig = ExtractConf
     """
     kept = sentences(messages, config).filter(F.col("reason").isNull())
     cut = F.when(F.length("raw") > config.max_chars, F.concat(F.substring("raw", 1, config.max_chars - 1), F.lit("…"))).otherwise(F.col("raw"))
+    kept = kept.withColumns({"hinted_type": T.signal_type("sentence"), "weight": T.signal_weight("sentence"), "emphasis": T.emphasis_weight("sentence")})
+    score = F.least(F.lit(1.0), F.lit(0.35) + F.col("weight") * 0.35 + F.col("emphasis") + F.least(F.lit(0.15), F.length("sentence") / 800))
     rows = kept.select(
         "session_id", "turn", "seq", "pos", F.lit("user").alias("kind"), T.clip_at_clause("sentence", config.max_chars).alias("text"), T.signature(cut).alias("key"),
-        T.excerpt("raw", 200).alias("quote"), T.signal_type("sentence").alias("hinted_type"), T.candidate_score("sentence").alias("score"),
+        T.excerpt("raw", 200).alias("quote"), "hinted_type", score.alias("score"),
     )
     best = Window.partitionBy("session_id", "seq").orderBy(F.col("score").desc(), "pos")
     return rows.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= config.per_message).drop("_n")
@@ -56,14 +58,15 @@ def sentence_candidates(messages: DataFrame, config: ExtractConfig = ExtractConf
 def failure_rows(events: DataFrame) -> DataFrame:
     """Failed tool results with the tool's name: the last call of that id before the result (J1), else the error's."""
     results = events.filter("type = 'tool/result'").filter(F.col("error_name").isNotNull() | F.col("error_code").isNotNull() | F.coalesce(F.exists("blocks", lambda b: F.coalesce(b["is_error"], F.lit(False))), F.lit(False)))
-    calls = events.filter("type = 'tool/call' and call_id is not null and name is not null").select("session_id", F.col("turn").alias("_turn"), F.col("seq").alias("_seq"), F.col("call_id").alias("_call"), F.col("name").alias("_name"))
-    named = results.join(calls, (results.session_id == calls.session_id) & (results.turn == calls._turn) & (results.call_id == calls._call) & (calls._seq < results.seq), "left").drop(calls.session_id)
+    calls = events.filter("type = 'tool/call' and call_id is not null and name is not null").select(F.col("session_id").alias("_session"), F.col("turn").alias("_turn"), F.col("seq").alias("_seq"), F.col("call_id").alias("_call"), F.col("name").alias("_name"))
+    named = results.join(calls, (F.col("session_id") == F.col("_session")) & (F.col("turn") == F.col("_turn")) & (F.col("call_id") == F.col("_call")) & (F.col("_seq") < F.col("seq")), "left")
     whole = named.groupBy("session_id", "turn", "seq").agg(F.max_by("_name", "_seq").alias("called"), F.first("error_name").alias("error_name"), F.first("error_code").alias("error_code"), F.first("blocks").alias("blocks"))
     detail = T.normalize(T.blocks_text("blocks", " "))
-    summary = F.when(detail != "", detail).otherwise(F.coalesce("error_code", F.lit("")))
     tool = F.coalesce("called", "error_name", F.lit("tool"))
-    text = F.substring(T.normalize(F.concat(tool, F.lit(" 失败："), F.when(summary != "", summary).otherwise("未知错误"))), 1, 240)
-    return whole.select("session_id", "turn", "seq", tool.alias("tool"), detail.alias("detail"), summary.alias("summary"), text.alias("text"))
+    named = whole.select("session_id", "turn", "seq", tool.alias("tool"), detail.alias("detail"), "error_code")
+    named = named.withColumn("summary", F.when(F.col("detail") != "", F.col("detail")).otherwise(F.coalesce("error_code", F.lit("")))).drop("error_code")
+    text = F.concat("tool", F.lit(" 失败："), F.when(F.col("summary") != "", F.col("summary")).otherwise("未知错误"))
+    return named.withColumn("text", F.substring(T.normalize(text), 1, 240))
 
 
 def failure_candidates(events: DataFrame) -> DataFrame:

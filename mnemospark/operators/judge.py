@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
@@ -204,9 +206,6 @@ def parse_answer(raw: str | None) -> tuple[str | None, str]:
 
 def with_parsed(answers: DataFrame, column: str = "raw") -> DataFrame:
     """Answers with ``parsed`` struct(list, state): the repaired JSON list."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("list string, state string")
     def parse(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_answer(x) for x in raw], columns=["list", "state"])

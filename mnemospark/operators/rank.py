@@ -70,9 +70,14 @@ def names_held(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return names.join(inside, "name").join(held, "token").filter(F.contains(F.col("text"), F.col("name"))).select("qid", "id", "name").distinct()
 
 
+def best_first() -> Column:
+    """Order by score, equal to nine digits: sums of the same terms in another order tie."""
+    return F.round("score", 9).desc()
+
+
 def ranked(scores: DataFrame, *order: Column) -> DataFrame:
     """With ``rank`` from 1 by score and then ``order`` and id."""
-    by = Window.partitionBy("qid").orderBy(F.col("score").desc(), *order, "id")
+    by = Window.partitionBy("qid").orderBy(best_first(), *order, "id")
     return scores.withColumn("rank", F.row_number().over(by))
 
 
@@ -172,7 +177,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float = 0.2) -> Data
 
 def conflict_partner(incoming: DataFrame, memories: DataFrame, least: float = 0.2) -> DataFrame:
     """The best overlapping memory of each incoming text; on ties the smallest id."""
-    by = Window.partitionBy("lid").orderBy(F.col("score").desc(), "rid")
+    by = Window.partitionBy("lid").orderBy(best_first(), "rid")
     return overlap_pairs(incoming, memories, least).withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
 
 
@@ -180,7 +185,7 @@ def conflict_partners(incoming: DataFrame, memories: DataFrame, limit: int = 20)
     """``limit`` memories for each incoming text by BM25, zero scores included, then the newest."""
     queries = incoming.select(F.col("id").alias("qid"), F.col("text").alias("query"))
     scores = bm25(memories, queries)
-    by = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("updated_at").desc(), "id")
+    by = Window.partitionBy("qid").orderBy(best_first(), F.col("updated_at").desc(), "id")
     scored = scores.join(memories.select("id", "updated_at"), "id").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
     # only the newest memories can fill up, so not all of them meet every text
     newest = memories.orderBy(F.col("updated_at").desc(), "id").limit(2 * limit).select("id", "updated_at")

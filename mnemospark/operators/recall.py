@@ -122,7 +122,7 @@ def pick(rows: DataFrame, config: RecallConfig, group: tuple[str, ...] = ()) ->
     fill the budget never matter, but any of them may follow a line that is too long, so all eligible rows of a group
     come together; groups are sessions or probes, whose stores are bounded.
     """
-    by = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col("created_at").desc(), "id")
+    by = Window.partitionBy(*group).orderBy(F.round("score", 9).desc(), F.col("created_at").desc(), "id")
     items = rows.withColumn("pos", F.row_number().over(by)).withColumn("cost", T.estimate_tokens("line"))
     gathered = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "type", "cost", "created_at", "id"))).alias("items"))
     chosen = gathered.withColumn("picked", _greedy(config)["picked"])

@@ -56,10 +56,10 @@ MESSAGES = "msg AS (SELECT conv_id AS session_id, turn AS seq, role, coalesce(te
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as observations."""
-    return table(spark, sf_dir, "events").select("event_id", F.unix_millis("ts").alias("t"), "user_id", F.col("event_type").alias("kind"), "value")
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "user_id", F.col("event_type").alias("kind"), "value")
 
 
-EVENTS = "ev AS (SELECT event_id, epoch_ms(ts) AS t, user_id, event_type AS kind, value FROM events)"
+EVENTS = "ev AS (SELECT event_id, epoch_us(ts) // 1000 AS t, user_id, event_type AS kind, value FROM events)"
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
