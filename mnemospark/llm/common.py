@@ -34,7 +34,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later reads survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemospark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
