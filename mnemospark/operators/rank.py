@@ -59,15 +59,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
 def names_held(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, id, name)``: names of a query that a document holds verbatim.
 
-    Names meet documents by their tokens in lower case first, and are then compared as they are; a name inside a
-    longer token is found among the tokens that contain it.
+    A name consists of token characters, so it lies inside one token. Names meet the vocabulary by their first five
+    characters, which all names have, then the documents by token, and are compared with the text only there: all
+    joins are on equality, and a text is read once for each name that it may hold.
     """
     names = queries.select("qid", F.explode(T.names_in("query")).alias("name"))
-    held = docs.select("id", "text", F.explode(token_set(F.col("text"))).alias("token"))
-    # the name's own characters are token characters, so it lies inside one token
-    vocabulary = held.select("token").distinct()
-    inside = names.select("name").distinct().join(vocabulary, F.contains(F.col("token"), F.lower("name")))
-    return names.join(inside, "name").join(held, "token").filter(F.contains(F.col("text"), F.col("name"))).select("qid", "id", "name").distinct()
+    wanted = names.select("name").distinct().withColumn("start", F.substring(F.lower("name"), 1, 5))
+    held = docs.select("id", F.explode(token_set(F.col("text"))).alias("token"))
+    vocabulary = held.filter(F.length("token") >= 5).select("token").distinct()
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 4), lambda k: F.substring(F.col("token"), k, F.lit(5))))
+    inside = vocabulary.select("token", F.explode(starts).alias("start")).join(wanted, "start").filter(F.contains(F.col("token"), F.lower("name")))
+    maybe = inside.select("name", "token").join(held, "token").select("name", "id").distinct()
+    sure = maybe.join(docs.select("id", "text"), "id").filter(F.contains(F.col("text"), F.col("name"))).select("name", "id")
+    return names.join(sure, "name").select("qid", "id", "name").distinct()
 
 
 def best_first() -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-SESSION = Window.partitionBy("session_id").orderBy("seq")
+def session() -> WindowSpec:
+    """Messages of a session in order."""
+    return Window.partitionBy("session_id").orderBy("seq")
 
 
 def rounds(messages: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def rounds(messages: DataFrame) -> DataFrame:
 
     ``(session_id, round, seq, text, answer_seq, answer)``; assistant lines before the first user message belong to none.
     """
-    numbered = messages.filter(F.col("role").isin("user", "assistant")).withColumn("round", F.sum((F.col("role") == "user").cast("int")).over(SESSION))
+    numbered = messages.filter(F.col("role").isin("user", "assistant")).withColumn("round", F.sum((F.col("role") == "user").cast("int")).over(session()))
     user, other = F.col("role") == "user", F.col("role") == "assistant"
     last = F.max(F.when(other, F.struct("seq", "text")))
     return (
@@ -31,7 +33,7 @@ def conversation_windows(messages: DataFrame, anchors: DataFrame, n_rounds: int
     ``(session_id, at, pos, seq, role, text)``. An answer counts for an anchor only if it stands before it; answers are
     cut at ``answer_chars`` (0: left out), the newest ``recent_rounds`` of them at ``recent_chars`` instead.
     """
-    told = messages.filter(F.col("role").isin("user", "assistant")).withColumn("round", F.sum((F.col("role") == "user").cast("int")).over(SESSION)).filter("round > 0")
+    told = messages.filter(F.col("role").isin("user", "assistant")).withColumn("round", F.sum((F.col("role") == "user").cast("int")).over(session())).filter("round > 0")
     before = anchors.join(told, "session_id").filter(F.col("seq") < F.col("at"))
     user = F.col("role") == "user"
     shaped = before.groupBy("session_id", "at", "round").agg(F.min(F.when(user, F.struct("seq", "text"))).alias("u"), F.max(F.when(~user, F.struct("seq", "text"))).alias("a"))
@@ -48,19 +50,19 @@ def conversation_windows(messages: DataFrame, anchors: DataFrame, n_rounds: int
 
 def windows_ending_at(messages: DataFrame, n: int) -> DataFrame:
     """Each message with itself and the n - 1 before it."""
-    frame = SESSION.rowsBetween(-(n - 1), 0)
+    frame = session().rowsBetween(-(n - 1), 0)
     return messages.withColumn("window", F.collect_list(F.struct("seq", "role", "text")).over(frame))
 
 
 def earlier_counts(messages: DataFrame) -> DataFrame:
     """Each message with how many messages and characters stand before it."""
-    frame = SESSION.rowsBetween(Window.unboundedPreceding, -1)
+    frame = session().rowsBetween(Window.unboundedPreceding, -1)
     return messages.select("session_id", "seq", F.count("*").over(frame).alias("n_before"), F.coalesce(F.sum(F.length("text")).over(frame), F.lit(0)).alias("chars_before"))
 
 
 def hopping_windows(messages: DataFrame, size: int = 5, step: int = 4) -> DataFrame:
     """Windows of ``size`` consecutive messages every ``step`` (W18): session_id, start, seqs."""
-    n = messages.withColumn("k", F.row_number().over(SESSION) - 1).withColumn("total", F.count("*").over(Window.partitionBy("session_id")))
+    n = messages.withColumn("k", F.row_number().over(session()) - 1).withColumn("total", F.count("*").over(Window.partitionBy("session_id")))
     # a message lies in the windows whose start is a multiple of step in [k - size + 1, k]
     first = F.greatest(F.lit(0), F.ceil((F.col("k") - (size - 1)) / F.lit(step)) * step).cast("int")
     starts = F.filter(F.sequence(first, F.greatest(first, F.col("k").cast("int"))), lambda s: (s % step == 0) & (s <= F.col("k")) & (s + size <= F.col("total")))
@@ -69,7 +71,7 @@ def hopping_windows(messages: DataFrame, size: int = 5, step: int = 4) -> DataFr
 
 def extraction_source(messages: DataFrame) -> DataFrame:
     """Position of the last user message of each session, -1 if there is none."""
-    pos = messages.withColumn("pos", F.row_number().over(SESSION) - 1)
+    pos = messages.withColumn("pos", F.row_number().over(session()) - 1)
     return pos.groupBy("session_id").agg(F.coalesce(F.max(F.when(F.col("role") == "user", F.col("pos"))), F.lit(-1)).alias("source"))
 
 
@@ -83,7 +85,7 @@ def recall_queries(messages: DataFrame, k: int = 3, most: int = 4000) -> DataFra
 
 def turns(events: DataFrame, boundary: str = "turn/start") -> DataFrame:
     """Events with their turn number: how many boundaries stand at or before them."""
-    return events.withColumn("turn", F.sum((F.col("type") == boundary).cast("int")).over(SESSION))
+    return events.withColumn("turn", F.sum((F.col("type") == boundary).cast("int")).over(session()))
 
 
 def last_turn(events: DataFrame, boundary: str = "turn/start") -> DataFrame:

@@ -28,7 +28,7 @@ def read_session_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of session logs with their file and place. Files in .gz or .zst are read as Hadoop's codecs allow; one
     file is read by one task, as order inside it matters."""
     # wholetext keeps each file's lines together and in order
-    files = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter("value != ''")
 
 
