@@ -148,5 +148,7 @@ OPENING_QUOTES = r"^[\"'“”「『]+"
 CLOSING_QUOTES = r"[\"'“”」』]+$"
 ANSWER_LABELS = r"^(整理后|整理|结果|输出)[:：]\s*"
 REFUSALS = r"(?i)^(抱歉|对不起|无法|不能|sorry|cannot|i can)"
+#: Scratch files of pastes, which are gone later: temporary folders and names like <tool>-paste-<id>.
+SCRATCH_PATHS = r"\/private\/var\/folders\/\S+|\/var\/folders\/\S+|\/tmp\/\S+|[a-z]+(?:-[a-z]+)*-paste-\S+"
 FOLD_MARKER = r"<(?:code|str|path|hex|n)>"
 STATUSES = ("active", "needs-review", "superseded")

@@ -107,7 +107,7 @@ def strip_pasted(text) -> Column:
     value = replace(F.coalesce(_col(text), F.lit("")), r"^\s*\\+(?:end|begin)\{[^}]*\}\s*", "")
     value = replace(value, r"^\s*\\+(?:item|hline)\b[\s\d.]*", "")
     value = replace(value, r"^\s*\\+(?:textbf|textit|emph|texttt)\{([^}]*)\}\s*", "$1")
-    value = replace(value, r"\/private\/var\/folders\/\S+|\/var\/folders\/\S+|\/tmp\/\S+|modlens-dsh-paste-\S+", "<path>")
+    value = replace(value, P.SCRATCH_PATHS, "<path>")
     value = trim(replace(value, r"\s{2,}", " "))
     shorter = lambda v: trim(replace(v, r"\s*\d{1,2}[.、)）]\s*$", ""))
     return _once(value, lambda v: _once(shorter(v), lambda s: F.when(F.length(s) >= 12, s).otherwise(v)))

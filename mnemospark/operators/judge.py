@@ -92,7 +92,7 @@ def judged(candidates: DataFrame, rows: DataFrame, types: tuple[str, ...] = P.ME
     out = candidates.join(r, "key", "left")
     missing = F.col("_type").isNull() & F.col("_importance").isNull()
     kind = F.when(F.col("_type").isin(*types), F.col("_type")).otherwise(F.coalesce("hinted_type", F.lit("fact")))
-    return out.withColumns({"type": kind, "importance": F.coalesce("_importance", "score"), "note": F.when(missing, "jev-missing-row")}).drop("_type", "_importance")
+    return out.withColumns({"type": kind, "importance": F.coalesce("_importance", "score"), "note": F.when(missing, "missing-row")}).drop("_type", "_importance")
 
 
 def canonical_reason(before: Column, answer: Column, ratio: float = 3.0, overlap: float = 0.25) -> Column:

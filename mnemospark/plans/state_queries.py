@@ -249,7 +249,7 @@ def x3_x5_choices(spark, sf_dir):
     return c.select("id", J.chosen_partner(F.col("choice"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("partner"), J.conflict_choice(F.col("choice"), {"m0": "keep-old", "none": "keep-both"}).alias("means"))
 
 
-@query(f"WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pitfall' ELSE 'odd' END AS type, toxic * 1.0::DOUBLE AS importance FROM labels) SELECT doc_id, CASE WHEN r.type = 'pitfall' THEN 'pitfall' ELSE lang END AS type, coalesce(r.importance, n_chars * 1.0::DOUBLE) AS importance, CASE WHEN r.type IS NULL THEN 'jev-missing-row' END AS note FROM documents LEFT JOIN r USING (doc_id)")
+@query(f"WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pitfall' ELSE 'odd' END AS type, toxic * 1.0::DOUBLE AS importance FROM labels) SELECT doc_id, CASE WHEN r.type = 'pitfall' THEN 'pitfall' ELSE lang END AS type, coalesce(r.importance, n_chars * 1.0::DOUBLE) AS importance, CASE WHEN r.type IS NULL THEN 'missing-row' END AS note FROM documents LEFT JOIN r USING (doc_id)")
 def j2_x4_judged(spark, sf_dir):
     c = B.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("key"), F.col("lang").alias("hinted_type"), F.col("n_chars").cast("double").alias("score"))
     r = B.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "pitfall").otherwise("odd").alias("type"), F.col("toxic").cast("double").alias("importance"), F.lit(None).cast("double").alias("remember"), F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(None).cast("string").alias("relationship"), F.lit(None).cast("int").alias("related_index"))

@@ -82,7 +82,7 @@ def t11_signature(spark, sf_dir):
 
 _STRIP = sub(sub("text", r"^\s*\\+(?:end|begin)\{[^}]*\}\s*", ""), r"^\s*\\+(?:item|hline)\b[\s\d.]*", "")
 _STRIP = sub(_STRIP, r"^\s*\\+(?:textbf|textit|emph|texttt)\{([^}]*)\}\s*", r"\1")
-_STRIP = sub(sub(_STRIP, r"\/private\/var\/folders\/\S+|\/var\/folders\/\S+|\/tmp\/\S+|modlens-dsh-paste-\S+", "<path>"), r"\s{2,}", " ")
+_STRIP = sub(sub(_STRIP, P.SCRATCH_PATHS, "<path>"), r"\s{2,}", " ")
 _STRIP = sub(_STRIP, r"^\s+|\s+$", "")
 _SHORTER = sub(sub("v", r"\s*\d{1,2}[.、)）]\s*$", ""), r"^\s+|\s+$", "")
 
