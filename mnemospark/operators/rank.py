@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions.tokens import token_list, token_set
 
 K1, B, NAME_BONUS = 1.2, 0.75, 16.0
+FEW_NAMES = 256
 
 
 def in_scope(cwd: Column, session_cwd: str | None) -> Column:
@@ -47,9 +48,11 @@ def corpus_stats(docs: DataFrame, id: str = "id", text: str = "text") -> DataFra
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``(qid, id, score)`` of all documents that share a token with a query."""
-    posting = postings(docs)
-    df = posting.groupBy("token").agg(F.count("*").alias("df"))
     wanted = queries.select("qid", F.explode(token_set(F.col("query"))).alias("token"))
+    # only tokens that some query has are grouped: what is shuffled follows the queries, not the corpus
+    tokens = docs.select("id", token_list(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    posting = tokens.join(wanted.select("token").distinct(), "token").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = posting.groupBy("token").agg(F.count("*").alias("df"))
     hits = wanted.join(posting, "token").join(df, "token").crossJoin(F.broadcast(corpus_stats(docs)))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - b + b * F.col("length") / F.col("avg_length")
@@ -59,11 +62,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
 def names_held(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, id, name)``: names of a query that a document holds verbatim.
 
-    A name consists of token characters, so it lies inside one token. Names meet the vocabulary by their first five
-    characters, which all names have, then the documents by token, and are compared with the text only there: all
-    joins are on equality, and a text is read once for each name that it may hold.
+    A few names (up to ``FEW_NAMES``, which is counted first) are broadcast and looked for in each text. More of them
+    meet the vocabulary: a name consists of token characters, so it lies inside one token; names meet tokens by their
+    first five characters, which all names have, then documents by token, and are compared with the text only there.
     """
     names = queries.select("qid", F.explode(T.names_in("query")).alias("name"))
+    if names.select("name").distinct().limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        few = F.broadcast(names.select("name").distinct())
+        sure = docs.select("id", "text").join(few, F.contains(F.col("text"), F.col("name"))).select("name", "id")
+        return names.join(sure, "name").select("qid", "id", "name").distinct()
     wanted = names.select("name").distinct().withColumn("start", F.substring(F.lower("name"), 1, 5))
     held = docs.select("id", F.explode(token_set(F.col("text"))).alias("token"))
     vocabulary = held.filter(F.length("token") >= 5).select("token").distinct()

@@ -221,3 +221,12 @@ def test_upsert_keeps_counters(spark):
     old = store(spark, memory("a", age=9)).withColumn("recalls", F.lit(4).cast("long"))
     row = D.upsert(old, store(spark, memory("a", text="new"), memory("b"))).filter("id = 'a'").first()
     assert row.text == "new" and row.recalls == 4 and row.created_at == NOW - 9 * DAY
+
+
+def test_names_are_found_either_way(spark, monkeypatch):
+    m = store(spark, memory("a", text="uses memory.json and Config.yaml."), memory("b", text="x-memory.json-y"), memory("c", text="MEMORY.JSON"), memory("d", text="plain"))
+    q = spark.createDataFrame([(0, "where is memory.json"), (1, "Config.yaml or plain words")], "qid int, query string")
+    found = lambda: {(r.qid, r.id, r["name"]) for r in R.names_held(m, q).collect()}
+    few = found()
+    monkeypatch.setattr(R, "FEW_NAMES", 0)
+    assert few == found() == {(0, "a", "memory.json"), (0, "b", "memory.json"), (1, "a", "Config.yaml"), (1, "d", "plain")}
