@@ -8,12 +8,14 @@ calibrate both and fit their combination, which then scores all documents.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import chunks, materialize, span_hashes, word_spans
 
@@ -97,8 +99,6 @@ def _named(column: pa.Array, buckets: int) -> np.ndarray:
     """Hashed buckets of a short text column; null is bucket 0."""
     values = column.dictionary_encode() if not pa.types.is_dictionary(column.type) else column
     names = values.dictionary.to_pylist()
-    import zlib
-
     lookup = np.array([1 + zlib.crc32(str(x).encode()) % (buckets - 1) for x in names] + [0])
     index = values.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
     return lookup[index]
@@ -310,8 +310,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             kept = [model.score(*views)[2] >= threshold for _, *views in _featurise([batch])]
             yield pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
-    from pyspark.sql.functions import arrow_udf
-
     judge = arrow_udf(run, "boolean")
     have = set(docs.columns)
     parts = [F.col("text"), *[(F.col(c) if c in have else F.lit(None)).cast("string") for c in ("lang", "source")]]
