@@ -4,7 +4,8 @@ Every window of L consecutive words has a smallest k-gram hash; equal windows ha
 shards by it, as runs of consecutive windows that share one. Runs whose k-gram occurs once in the corpus cannot hold a
 repeated window and go no further. Equal runs are kept once, with their number. Each shard builds an FM-index over its
 runs and streams them through it: backward search over the wavelet matrix gives the matching statistics cut at L, and
-a window is a repeat if the rows of its interval stand for two or more occurrences.
+a window is a repeat if the rows of its interval stand for two or more occurrences. A k-gram in very many contexts
+would make one shard too large; the windows of its runs are single runs of their own, so equal ones still meet.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ WINDOW = 35
 GRAM = 8
 #: Runs are cut at so many windows, which bounds the steps of a search.
 MOST_WINDOWS = 256
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
+#: A k-gram with more different runs than this is dealt to shards window by window, by the window's own hash.
+HOT_RUNS = 20_000
 
 KEYS = ["tkey", "tkey2"]
 
@@ -92,24 +95,37 @@ def _emit_runs(window: int, gram: int):
 
 
 def _cut_runs(window: int):
-    """Rows (text, list of wanted runs) to one row for each run with its words."""
+    """Rows (text, list of wanted runs) to one row for each run with its words; of hot runs to one for each window, with
+    the run that it comes from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in chunks(batch):
                 starts, ends, first = word_spans(data, offsets)
                 joined, to, till = joined_words(data, starts, ends)
-                text = joined.tobytes().decode()
-                bytewise = len(text) == len(joined)
                 raw = joined.tobytes()
                 wanted = rows.column(1)
                 held = wanted.flatten()
                 row = np.repeat(np.arange(rows.num_rows), np.diff(wanted.offsets.to_numpy()))
-                start, windows = (held.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
-                a = first[:-1][row] + start
-                b = a + windows + window - 2
-                words = [raw[s:e].decode() if not bytewise else text[s:e] for s, e in zip(to[a].tolist(), till[b].tolist())]
-                yield pa.RecordBatch.from_arrays([held.field("m"), held.field("f"), held.field("times"), pa.array(words, pa.string())], names=["m", "f", "times", "words"])
+                start, windows, m, f, times, hot = (held.field(k).to_numpy(zero_copy_only=False) for k in ("start", "windows", "m", "f", "times", "hot"))
+                begin = first[:-1][row] + start
+                # one entry for each run, or for each window of a hot one
+                n = np.where(hot, windows, 1)
+                of = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                a = begin[of] + at
+                b = a + np.where(hot[of], 1, windows[of]) + window - 1
+                own = as_long(span_hashes(span_hashes(data, starts, ends), a, b)) if hot.any() else f[of]
+                from_hot = hot[of]
+                words = [raw[s:e].decode() for s, e in zip(to[a].tolist(), till[b - 1].tolist())]
+
+                def only_hot(x: np.ndarray) -> pa.Array:
+                    return pa.array(x, mask=~from_hot)
+
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(from_hot, own, m[of])), pa.array(np.where(from_hot, own, f[of])), pa.array(times[of]), pa.array(words, pa.string()), only_hot(m[of]), only_hot(f[of]), only_hot(at.astype(np.int32))],
+                    names=["m", "f", "times", "words", "hot_m", "hot_f", "at"],
+                )
 
     return run
 
@@ -154,7 +170,7 @@ def _search_shard(window: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``(tkey, tkey2, spans)`` for each distinct text of ``texts (text, tkey, tkey2)`` with a repeated window.
 
     spans is [from, to, from, to, ...] in words of that text; ranges may overlap.
@@ -164,14 +180,29 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     likely = materialize(runs.join(again, "m", "left_semi"), "sub-likely")
     distinct = likely.groupBy("m", "f").agg(F.count("*").alias("times"), F.min(F.struct(*KEYS, "start", "windows")).alias("at"))
     distinct = materialize(distinct.select("m", "f", "times", "at.*"), "sub-distinct")
-    words = distinct.agg(F.sum(F.col("windows") + (window - 1))).first()[0] or 0
-    shards = max(1, -(-int(words) // SHARD_WORDS))
-    wanted = distinct.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "f", "times", "start", "windows")).alias("runs"))
+    facts = distinct.agg(F.sum(F.col("windows") + (window - 1)), F.count("*")).first()
+    shards = max(1, -(-int(facts[0] or 0) // SHARD_WORDS))
+    hot = distinct.groupBy("m").count().filter(F.col("count") > hot_runs).select("m", F.lit(True).alias("hot"))
+    any_hot = (facts[1] or 0) > hot_runs and hot.limit(1).count() > 0
+    distinct = distinct.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else distinct.withColumn("hot", F.lit(False))
+    wanted = distinct.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "f", "times", "start", "windows", "hot")).alias("runs"))
     # one copy of each text suffices to cut its runs out
     single = texts.select("text", *KEYS).dropDuplicates(KEYS)
-    cut = single.join(wanted, KEYS).select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string")
-    marked = cut.groupBy(F.pmod("m", F.lit(shards)).alias("shard")).applyInArrow(_search_shard(window), "m long, f long, spans array<int>")
+    cut = single.join(wanted, KEYS).select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string, hot_m long, hot_f long, at int")
+    pieces = cut.select("m", "f", "times", "words")
+    if any_hot:
+        cut = materialize(cut, "sub-cut")
+        pieces = cut.groupBy("m", "f").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+        # a single window that stands once is no repeat
+        alone = F.col("m") == F.col("f")
+        pieces = pieces.filter(~alone | (F.col("times") > 1))
+    marked = pieces.groupBy(F.pmod("m", F.lit(shards)).alias("shard")).applyInArrow(_search_shard(window), "m long, f long, spans array<int>")
     marked = materialize(marked, "sub-marked")
+    if any_hot:
+        # back from windows to the runs that hold them
+        back = cut.filter("at is not null").select("m", "f", "hot_m", "hot_f", "at").join(marked.select("m", "f"), ["m", "f"], "left_semi")
+        spans = back.groupBy("hot_m", "hot_f").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + window))).alias("spans"))
+        marked = marked.union(spans.select(F.col("hot_m").alias("m"), F.col("hot_f").alias("f"), "spans"))
     placed = likely.join(marked, ["m", "f"]).groupBy(*KEYS, "start").agg(F.first("spans").alias("spans"))
     placed = placed.select(*KEYS, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
     return placed.groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -206,7 +237,7 @@ def _cut_repeats(n_other: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Rows of ``docs`` (all its columns) with n_words, n_removed and kept_words: the words that no repeated window
     covers, joined by single spaces.
 
@@ -218,7 +249,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_words")]
     named = docs.select("text", *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)], F.col("text").isNull().alias("_null"))
     rows = keyed(named)
-    spans = repeated_spans(rows.select("text", *KEYS), window, gram)
+    spans = repeated_spans(rows.select("text", *KEYS), window, gram, hot_runs)
     joined = rows.join(spans, KEYS, "left").select("text", "spans", *[f"_{k}" for k in range(len(others))], "_null")
     schema = ", ".join([*[f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)], "_null boolean", "text string, n_words long, n_removed long, kept_words string"])
     cut = joined.withColumnRenamed("_null", f"_{len(others)}").mapInArrow(_cut_repeats(len(others) + 1), schema.replace("_null boolean", f"_{len(others)} boolean"))

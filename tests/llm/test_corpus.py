@@ -49,6 +49,17 @@ def test_substrings_with_few_words(spark, alphabet):
     assert got == {i: " ".join(k) for (i, _), k in zip(rows, kept)}
 
 
+@pytest.mark.parametrize("hot", [0, 2, 10])
+def test_substrings_with_hot_grams(spark, hot):
+    """A passage in many contexts, and a text that repeats one word: the same result by single windows."""
+    rng = random.Random(hot)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, " ".join([*(f"w{rng.randrange(50)}" for _ in range(20)), passage, *(f"w{rng.randrange(50)}" for _ in range(20))])) for i in range(40)] + [(90, "x " * 70), (91, "a " + "x " * 30)]
+    words, kept = brute_removed([t for _, t in rows], 20)
+    got = {r.doc_id: r.kept_words for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 20, 4, hot).collect()}
+    assert got == {i: " ".join(k) for (i, _), k in zip(rows, kept)}
+
+
 def test_index_counts_foreign_patterns():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 5, 300), 0)
