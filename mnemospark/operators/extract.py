@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import patterns as P
 from ..functions import text as T
 
 FAILURE_SCORE = 0.75
@@ -104,8 +105,10 @@ def repeat_gate(observations: DataFrame, least: int = 2) -> DataFrame:
 
 
 def secret_veto(rows: DataFrame) -> DataFrame:
-    """Without rows whose text and quote screen as secret; other reasons do not matter on this path."""
-    return rows.filter(~F.coalesce(T.screen(F.concat_ws(" ", "text", "quote")) == "secret", F.lit(False)))
+    """Without rows whose text and quote screen as secret (F19). Other reasons do not matter on this path, but for the
+    one that the screen puts first: a transcript line is not screened as secret."""
+    whole = F.concat_ws(" ", "text", "quote")
+    return rows.filter(T.matches_any(whole, P.TRANSCRIPTS) | ~T.matches_any(whole, P.SECRETS))
 
 
 def model_rows(items: DataFrame, per_turn: int = 6, types: tuple[str, ...] = ("constraint", "pitfall", "decision")) -> DataFrame:

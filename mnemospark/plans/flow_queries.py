@@ -165,9 +165,9 @@ def t9_archive_rows(spark, sf_dir):
     return X.archive_rows(B.values(spark, _EV, _EV_SCHEMA))
 
 
-@query(f"WITH {B.MEMORIES}, s AS (SELECT id, left(text, 200) AS text, left(text, 200) || ' ' || lower(left(text, 120)) AS both_ FROM mem) SELECT id FROM s WHERE coalesce(({SCREEN.replace('text,', 'both_,').replace('text)', 'both_)')}) = 'secret', false) = false")
+@query(f"WITH {B.MEMORIES}, s AS (SELECT id, text, text || ' ' || lower(text) AS both_ FROM mem) SELECT id FROM s WHERE coalesce(({SCREEN.replace('text,', 'both_,').replace('text)', 'both_)')}) = 'secret', false) = false")
 def f19_secret_veto(spark, sf_dir):
-    rows = B.memories(spark, sf_dir).select("id", F.substring("text", 1, 200).alias("text"), F.lower(F.substring("text", 1, 120)).alias("quote"))
+    rows = B.memories(spark, sf_dir).select("id", "text", F.lower("text").alias("quote"))
     return X.secret_veto(rows).select("id")
 
 
@@ -249,11 +249,11 @@ def a28_role_tokens(spark, sf_dir):
     return m.groupBy("session_id", "role").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tokens"))
 
 
-@query(f"{_M} SELECT session_id, string_agg('[' || k || '] ' || role || ': ' || left(text, 20), chr(10) ORDER BY k) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS k FROM msg) GROUP BY session_id")
+@query(f"{_M} SELECT session_id, string_agg('[' || k || '] ' || role || ': ' || text, chr(10) ORDER BY k) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS k FROM msg) GROUP BY session_id")
 def t25_window_prompt(spark, sf_dir):
     from ..operators.judge import window_prompt
 
-    m = B.messages(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", F.substring("text", 1, 20).alias("text")))).alias("m"))
+    m = B.messages(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text"))).alias("m"))
     return m.select("session_id", window_prompt(F.col("m")).alias("prompt"))
 
 
