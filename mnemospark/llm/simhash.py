@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_long, chunks, joined_words, materialize, mix, word_spans
+from .common import as_long, chunks, joined_words, materialize, mix, span_hashes, word_spans
 from .components import components
 
 BITS = 64
@@ -215,45 +215,186 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The deduplicating stage: candidates by the fingerprint of single words, which small edits hardly move; a signature of
-#: five-word shingles confirms them. Of its 256 bits two texts of Jaccard similarity j differ in about
-#: 256 * acos(2j / (1 + j)) / pi: 39 at 0.8.
-CANDIDATE_SHINGLE = 1
+#: The deduplicating stage: texts as sets of five-word shingles. Two texts of Jaccard similarity j agree on all minima of
+#: one of the bands with probability 1 - (1 - j^BAND)^BANDS: all but 3 in 100,000 at 0.8.
 CONFIRM_SHINGLE = 5
-CONFIRM_LANES = 4
+BAND, BANDS = 4, 20
 SIMILARITY = 0.8
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BAND * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def apart_at(similarity: float, lanes: int = CONFIRM_LANES) -> int:
-    """The differing signature bits expected at a Jaccard similarity, and half a standard deviation more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = BITS * lanes
-    return int(bits * p + 0.5 * np.sqrt(bits * p * (1 - p)))
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = CONFIRM_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's different shingles, in order, and for each text (and the end) where they begin.
 
+    Fewer words than a shingle has are one shingle; no words, none.
+    """
+    starts, ends, first = word_spans(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    joined, to, till = joined_words(_LOWER[data], starts, ends)
+    n_words = np.diff(first)
+    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    begin = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]
+    last = np.minimum(begin + shingle, first[1:][row]) - 1
+    values = span_hashes(joined, to[begin], till[last])
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    return values[fresh], np.searchsorted(row[fresh], np.arange(len(offsets)))
+
+
+def set_prints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per set: a hash of the whole, the band keys, and the lowest byte of each minimum packed into longs."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    whole = np.zeros(len(n), np.uint64)
+    least = np.zeros((len(n), BAND * BANDS), np.uint64)
+    if len(full):
+        whole[full] = mix(np.add.reduceat(mix(values), first[:-1][full]) + n[full].astype(np.uint64))
+        for k, factor in enumerate(_FACTORS):
+            least[full, k] = mix(np.minimum.reduceat(values * factor, first[:-1][full]))
+    keys = np.zeros((len(n), BANDS), np.uint64)
+    for k in range(BAND):
+        keys = mix(keys + least[:, k::BAND])
+    return whole, keys, np.ascontiguousarray(least.astype(np.uint8)).view(np.uint64)
+
+
+def forest_links(node: np.ndarray, n: np.ndarray, root: np.ndarray, low: np.ndarray, agree: int, similarity: float, tried: dict[int, set[int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the rows of one bucket: set sizes that allow ``similarity`` and at least
+    ``agree`` equal bytes of ``low``. Rows of one root are joined already; pairs in ``tried`` are left out."""
+    rest, out = np.arange(len(node)), []
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            joined = root[rest] == root[x]
+            near = ~joined & (np.minimum(n[rest], n[x]) >= similarity * np.maximum(n[rest], n[x]))
+            near[near] = (low[rest[near]] == low[x]).sum(axis=1) >= agree
+            if near.any() and (done := tried.get(int(node[x]))):
+                near[near] = ~np.isin(node[rest[near]], list(done))
+            out.extend((int(node[x]), y) for y in node[rest[near]].tolist())
+            queue.extend(rest[near | joined].tolist())
+            rest = rest[~(near | joined)]
+    return out
+
+
+LOW = [f"s{k}" for k in range(BAND * BANDS // 8)]
+
+
+def _forest_scan(agree: int, similarity: float, forests: int):
+    """A scan of rows (bucket, key, node, other, n, root, lows...) that come sorted by bucket and key: up to ``forests``
+    disjoint forests of links of each bucket. Rows with an ``other`` are pairs tried before."""
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at, out = None, []
+
+        def close() -> None:
+            rows = np.concatenate(held)
+            held.clear()
+            tried: dict[int, set[int]] = {}
+
+            def note(pairs: list[tuple[int, int]]) -> None:
+                for a, b in pairs:
+                    tried.setdefault(a, set()).add(b)
+                    tried.setdefault(b, set()).add(a)
+
+            pair = rows[:, 3] >= 0
+            note(list(map(tuple, rows[pair][:, 2:4].tolist())))
+            rows = rows[~pair]
+            low = np.ascontiguousarray(rows[:, 6:]).view(np.uint8)
+            for _ in range(forests if len(rows) > 1 else 0):
+                links = forest_links(rows[:, 2], rows[:, 4], rows[:, 5], low, agree, similarity, tried)
+                if not links:
+                    break
+                note(links)
+                out.extend((*at, a, b) for a, b in links)
+
+        def flush() -> pa.RecordBatch:
+            both = np.array(out, np.int64).reshape(-1, 4)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(4)], names=["bucket", "key", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            heads, tails = np.concatenate([[0], new]), np.append(new, len(rows))
+            long = tails - heads > 1
+            long[[0, -1]] = True  # these may go on in other batches
+            for s, e in zip(heads[long].tolist(), tails[long].tolist()):
+                here = (int(rows[s, 0]), int(rows[s, 1]))
+                if here != at:
+                    if held:
+                        close()
+                    at = here
+                held.append(rows[s:e].copy())
+                if len(out) > 1 << 16:
+                    yield flush()
+        if held:
+            close()
+        if out:
+            yield flush()
+
+    return run
+
+
+def forest_proposals(nodes: DataFrame, agree: int, similarity: float, forests: int = 1, tried: DataFrame | None = None) -> DataFrame:
+    """Links ``(bucket, key, a, b)`` proposed among ``nodes (node, n, root, keys, lows...)`` by each band's buckets;
+    with ``tried (bucket, key, a, b)`` only in the buckets that it names, and other pairs."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.filter("n > 0").select("*", F.posexplode("keys").alias("_t", "key"))
+    rows = spread.select(F.col("_t").cast("long").alias("bucket"), "key", "node", F.lit(-1).cast("long").alias("other"), "n", "root", *LOW)
+    if tried is not None:
+        none = F.lit(0).cast("long")
+        pairs = tried.select("bucket", "key", F.col("a").alias("node"), F.col("b").alias("other"), none.alias("n"), none.alias("root"), *[none.alias(c) for c in LOW])
+        rows = rows.join(tried.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select(*pairs.columns).union(pairs)
+    dealt = rows.repartition(parts, "bucket", "key").sortWithinPartitions("bucket", "key", "node")
+    return dealt.mapInArrow(_forest_scan(agree, similarity, forests), "bucket long, key long, a long, b long")
+
+
+def near_set_links(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` among the nodes whose minima agree as ``similarity`` makes them, less 4.5 standard deviations."""
+    hashes = BAND * BANDS
+    agree = int(hashes * similarity - 4.5 * np.sqrt(hashes * similarity * (1 - similarity)))
+    found = forest_proposals(nodes.withColumn("root", F.col("node")), agree, similarity)
+    return materialize(found.select("a", "b").distinct(), "near-links")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest doc_id stays.
 
-    Two texts are linked if their single-word fingerprints lie within ``radius`` and their five-word signatures are as
-    near as similarity ``similarity`` makes them; groups are what links connect. Copies (also of an id) leave one row;
-    a null doc_id stays only if its group has no other; null texts and wordless ones are copies of each other.
+    Two texts are linked if their sets of five-word shingles share a band of minima and as many minima agree as
+    similarity ``similarity`` makes them; groups are what links connect. Copies (also of an id) leave one row; a null
+    doc_id stays only if its group has no other; null texts and wordless ones are copies of each other.
     """
+
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             parts = []
             for _, data, offsets in chunks(pa.RecordBatch.from_arrays([text], names=["text"])):
-                parts.append(np.column_stack([fingerprints(data, offsets, CANDIDATE_SHINGLE), fingerprints(data, offsets, CONFIRM_SHINGLE, CONFIRM_LANES)]))
-            all_ = np.concatenate(parts) if parts else np.zeros((0, 1 + CONFIRM_LANES), np.uint64)
-            yield pa.StructArray.from_arrays([pa.array(as_long(np.ascontiguousarray(all_[:, k]))) for k in range(all_.shape[1])], names=names)
-
-    names = ["fp", *[f"s{k}" for k in range(CONFIRM_LANES)]]
-    prints = arrow_udf(run, ", ".join(f"{c} long" for c in names))
+                values, first = shingle_sets(data, offsets)
+                whole, keys, low = set_prints(values, first)
+                parts.append(np.column_stack([whole, np.diff(first).astype(np.uint64), low, keys]))
+            all_ = as_long(np.concatenate(parts) if parts else np.zeros((0, 2 + len(LOW) + BANDS), np.uint64))
+            plain = [pa.array(np.ascontiguousarray(all_[:, k])) for k in range(2 + len(LOW))]
+            keys = np.ascontiguousarray(all_[:, 2 + len(LOW) :])
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.StructArray.from_arrays([*plain, lists], names=["whole", "n", *LOW, "keys"])
+
+    prints = arrow_udf(run, ", ".join(f"{c} long" for c in ("whole", "n", *LOW)) + ", keys array<long>")
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("doc"), prints(F.col("text")).alias("print"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.withColumn("node", F.xxhash64(*[F.col(f"print.{c}") for c in names])), "near-rows")
-    ids = rows.select("node", "print", "row", F.col("doc.doc_id").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    nodes = materialize(ids.groupBy("node").agg(F.first("print").alias("print"), F.min(order).alias("least")), "near-nodes")
-    roots = components(near_links(nodes.select("node", "print.*"), radius, apart_at(similarity)))
+    rows = materialize(rows, "near-rows")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
+    ids = rows.select(F.col("print.whole").alias("whole"), "print", "row", order.alias("order"))
+    # equal sets are one node, named by the row that stays
+    nodes = ids.groupBy("whole").agg(F.min("order").alias("least"), F.first("print").alias("print"))
+    nodes = materialize(nodes.select(F.col("least.row").alias("node"), "least", *[f"print.{c}" for c in ("n", *LOW, "keys")]), "near-nodes")
+    links = near_set_links(nodes.drop("least"), rows.select("row", F.col("doc.text").alias("text")), similarity)
+    roots = components(links)
     kept = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     return rows.join(kept.select(F.col("least.row").alias("row")), "row", "left_semi").select("doc.*")

@@ -159,6 +159,21 @@ def test_near_duplicate_stage(spark, awkward, awkward_rows, empty):
     assert kept.columns == awkward.columns and ids.count(4) == 1 and 5 in ids and 6 not in ids and {1, 2, 3} & set(ids) == {1} and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def near_variants(rng):
+    """Texts of 300 words with a foreign block appended or the tail cut, all at Jaccard 0.8 or more with the original."""
+    rows = []
+    for k in range(60):
+        base = [f"v{k}x{rng.randrange(4000)}" for _ in range(300)]
+        block = [f"b{k}x{rng.randrange(4000)}" for _ in range(55)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + block if k % 2 else base[:250]))]
+    return rows
+
+
+def test_near_duplicates_with_blocks_added_or_cut(spark):
+    rows = spark.createDataFrame(near_variants(random.Random(3)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(rows).collect()} == set(range(0, 120, 2))
+
+
 def brute_mix(rows):
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     total = collections.defaultdict(int)
