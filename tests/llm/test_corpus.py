@@ -174,6 +174,18 @@ def test_near_duplicates_with_blocks_added_or_cut(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(rows).collect()} == set(range(0, 120, 2))
 
 
+def test_near_duplicates_are_verified_and_other_partners_tried(spark):
+    rng, rows, stay = random.Random(6), [], set()
+    for k in range(40):
+        base = [f"v{k}x{rng.randrange(4000)}" for _ in range(300)]
+        block = [f"b{k}x{rng.randrange(4000)}" for _ in range(100)]
+        # the second and third are copies at 0.99, both at 0.75 of the first
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(base + block)), (3 * k + 2, " ".join(base + block[:95]))]
+        stay |= {3 * k, 3 * k + 1}
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == stay
+
+
 def brute_mix(rows):
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     total = collections.defaultdict(int)
