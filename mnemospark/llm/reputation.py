@@ -71,8 +71,12 @@ def _strength(units: DataFrame) -> tuple[float, float]:
     return p, (1 - spread) / spread
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``(host, n, good, mean, low, high)`` from labelled ``(host, good)`` rows, good being 0 or 1 (null: left out)."""
+def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
+    """``(host, n, good, mean, low, high)`` from labelled ``(host, good)`` rows, good being 0 or 1 (null: left out).
+
+    The hosts of ``others (host)`` without labelled rows follow with n = good = 0: their mean is that of the domain, else
+    of the suffix, else of all.
+    """
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -86,21 +90,28 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     total = F.col("n") + kh
     mean = a / total
     wide = z * F.sqrt(mean * (1 - mean) / (total + 1))
-    return hosts.join(domains, "domain").select("host", "n", "good", mean.alias("mean"), (mean - wide).alias("low"), (mean + wide).alias("high"))
+    placed = hosts.join(domains, "domain").select("host", "n", "good", "domain_mean")
+    if others is not None:
+        named = others.select("host").distinct().join(hosts.select("host"), "host", "left_anti")
+        named = named.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
+        above = named.join(domains, "domain", "left").join(suffixes, "suffix", "left")
+        none = F.lit(0).cast("long")
+        placed = placed.union(above.select("host", none, none, F.coalesce("domain_mean", "suffix_mean", F.lit(float(p)))))
+    return placed.select("host", "n", "good", mean.alias("mean"), (mean - wide).alias("low"), (mean + wide).alias("high"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, floor: float = FLOOR) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, and the host's posterior bounds (null without labelled pages).
+    """Per page: page_id, host, path, rule, verdict, and the host's posterior bounds.
 
     A label belongs to the page whose page_id equals its doc_id; it is good if quality is 1 and toxic is not 1. Without
-    a fitting rule the host's bound decides; hosts without labelled pages are allowed, as nothing speaks against them.
+    a fitting rule the host's bound decides; hosts without labelled pages have that of their domain, suffix or all.
     Null or malformed urls have an empty host. Repeated page ids stay; several labels of a page all count. The joins
     are on narrow rows and can be split by adaptive execution where one host has many pages.
     """
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     marked = labels.select(F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & ~(F.coalesce(F.col("toxic"), F.lit(0)) == 1)).cast("int").alias("good"))
     outcomes = parsed.select("page_id", "host").join(marked, F.col("page_id") == F.col("_id")).select("host", "good")
-    known = host_reputation(outcomes, z).select(F.col("host").alias("_host"), "low", "high")
+    known = host_reputation(outcomes, z, parsed).select(F.col("host").alias("_host"), "low", "high")
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumns({"rule": rule, "_says": says}).join(known, F.col("host") == F.col("_host"), "left")
     method = F.when(F.col("high") < floor, F.lit("block")).otherwise(F.lit("allow"))

@@ -325,6 +325,16 @@ def test_url_reputation_shrinks(spark):
     assert 0 < model["b.x.org"].mean < model["a.x.org"].mean < 1
 
 
+def test_url_reputation_of_hosts_without_labels(spark):
+    rows = [(k, f"http://h{k % 5}.{'bad.org' if k < 200 else 'fine.org'}/{k}") for k in range(400)]
+    labels = [(k, int(k >= 200), 0) for k in range(400)]
+    rows += [(500, "http://new.bad.org/"), (501, "http://new.fine.org/")]
+    out = reputation.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.page_id: r for r in out.filter("page_id >= 500").collect()}
+    assert got[500].verdict == "block" and got[501].verdict == "allow" and 0 < got[500].high < 0.5
+    assert got[500].high < got[501].high
+
+
 def test_arrow_buffers_of_slices():
     from mnemospark.llm.common import text_buffers
 
