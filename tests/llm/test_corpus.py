@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mnemospark.llm import fmindex, lm, mixing, neighbours, reputation, simhash, substrings
 from mnemospark.llm.components import components
@@ -258,12 +259,12 @@ def test_language_model(spark, awkward_rows, empty):
 
 
 def brute_nearest(rows, k):
-    rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, q in rows:
         if i % 20 == 0:
-            out[i] = sorted((-float((v * q).sum()), j) for j, v in rows if j != i)[:k]
-    return out
+            out[i] = sorted((-float((v * q).sum()), j) for j, v in rows if j != i and len(v) == len(q))[:k]
+    return {i: near for i, near in out.items() if near}
 
 
 def test_nearest_neighbours(spark):
@@ -271,7 +272,7 @@ def test_nearest_neighbours(spark):
     rows = [(int(i), [float(x) for x in rng.standard_normal(8).astype(np.float32)]) for i in range(1500)]
     rows += [(3000 + i, rows[40][1]) for i in range(60)] + [(4000, [0.0] * 8), (4020, None), (4040, [1.0] * 7 + [None]), (4060, [float("nan")] * 8), (4080, [1.0] * 3), (None, [1.0] * 8), (4100, [])]
     got = collections.defaultdict(list)
-    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=400, query_rows=30).collect():
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=400).collect():
         got[r.query_id].append((r.rank, -r.score, r.vec_id))
     want = brute_nearest(rows, 20)
     assert set(got) == set(want)
@@ -286,15 +287,32 @@ def test_nearest_neighbours(spark):
     assert few.count() == 4 and neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_recall_on_the_test_table(spark, sf_dir):
+def test_neighbours_of_mixed_lengths(spark):
+    """Each length is searched on its own; one longer vector leaves the others' rows as they were."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.standard_normal(6 if i % 3 else 9)]) for i in range(300)] + [(1000, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("key", "width", "shard", "ids", "total", "score", "rank")})
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(df).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    want = brute_nearest(rows, 20)
+    assert set(got) == set(want) and 1000 not in got
+    size = {i: len(v) for i, v in rows}
+    assert all(size[v] == size[q] for q, near in got.items() for _, v in near) and all(len(got[q]) == len(want[q]) for q in want)
+    assert np.mean([len({v for _, v in got[q]} & {v for _, v in want[q]}) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_recall_on_the_test_tables(spark, sf_dir):
     from pathlib import Path
 
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/embeddings.parquet").collect()]
-    x = np.array([v for _, v in rows], float)
-    forest = neighbours.PrefixForest(x, float(np.sqrt((x * x).sum(1)).max()))
-    found = forest.search(x[::20], 21)
-    scores = x[::20] @ x.T
-    assert np.mean([len(set(np.argsort(-s)[:21]) & set(r.tolist())) / 21 for s, (r, _) in zip(scores, found)]) >= 0.9
+    for sf, most in (("sf0.01", 0.6), ("sf0.1", 0.45)):
+        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{Path(sf_dir).parent}/{sf}/embeddings.parquet").collect()]
+        x = np.array([v for _, v in rows], float)
+        forest = neighbours.PrefixForest(x, float(np.sqrt((x * x).sum(1)).max()))
+        found = forest.search(x[::20], 21)
+        scores = x[::20] @ x.T
+        assert np.mean([len(set(np.argsort(-s)[:21]) & set(r.tolist())) / 21 for s, (r, _) in zip(scores, found)]) >= 0.9
+        assert forest.scored <= most * len(x) * len(found)
 
 
 def test_url_rules(spark):
