@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of every contract: runs of characters other than space and U+0009..U+000D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-DEFAULT_SHARED = "/tmp/checkpoints"
 CHUNK_BYTES = 2 << 20
 
 _U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_STEP = _U64(0x9E3779B97F4A7C15)
+#: Spans beyond this many bytes are hashed one by one.
+_BLOCKWISE = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of
+    its own; a cluster has no folder that all machines share by chance, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="mnemospark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -88,27 +95,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2^64 and of its inverse."""
-    held = max(_POWERS, default=0)
-    if held < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        both = []
-        for base in (_BASE, _INVERSE):
-            out = np.ones(size, dtype=_U64)
-            filled = 1
-            while filled < size:
-                step = _U64(pow(base, filled, 1 << 64))
-                out[filled : 2 * filled] = out[:filled] * step
-                filled *= 2
-            both.append(out)
-        _POWERS.clear()
-        _POWERS[size] = np.stack(both)
-        held = size
-    both = _POWERS[held]
-    return both[0][:n], both[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply)."""
     x = x ^ (x >> _U64(31))
@@ -118,12 +104,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(33))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many spans at once, by one prefix sum of a polynomial."""
-    up, down = powers(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=_U64)
-    np.cumsum((values.astype(_U64) + _U64(1)) * up[: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans of bytes at once: mixed blocks of eight bytes, or XXH64 for long
+    spans. Equal spans have equal hashes wherever they stand."""
+    sizes = ends - starts
+    out = mix(sizes.astype(_U64) * _STEP + _U64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position
+    at, left, live = starts, sizes, np.flatnonzero((sizes > 0) & (sizes <= _BLOCKWISE))
+    at, left = at[live], left[live]
+    while len(live):
+        spare = (np.maximum(8 - left, 0) * 8).astype(_U64)
+        out[live] = mix((out[live] ^ ((blocks[at] << spare) >> spare)) * _STEP)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(sizes > _BLOCKWISE)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxhash.xxh64_intdigest(view[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())), _U64, len(long))
+    return out
+
+
+def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each ``size`` (a power of two) consecutive 64-bit values, by doubling."""
+    now, step = values, 1
+    while step < size:
+        now = mix(now[: max(len(now) - step, 0)] * _STEP + now[step:])
+        step *= 2
+    return now
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end] for many spans of 64-bit values, in steps of 64, 8 and 1."""
+    out = mix((ends - starts).astype(_U64) + _STEP)
+    at = starts.copy()
+    longest = int((ends - starts).max(initial=0))
+    for size in (64, 8, 1):
+        if size > longest:
+            continue
+        grams = gram_hashes(values, size)
+        live = np.flatnonzero(at + size <= ends)
+        while len(live):
+            out[live] = mix(out[live] * _STEP + grams[at[live]])
+            at[live] += size
+            live = live[at[live] + size <= ends[live]]
+    return out
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

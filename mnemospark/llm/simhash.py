@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_long, chunks, joined_words, materialize, mix, span_hashes, word_spans
+from .common import as_long, chunks, joined_words, materialize, mix, sequence_hashes, span_hashes, word_spans
 from .components import components
 
 BITS = 64
@@ -231,13 +231,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = CONFIRM_S
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    joined, to, till = joined_words(_LOWER[data], starts, ends)
     n_words = np.diff(first)
     n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
     row = np.repeat(np.arange(len(n)), n)
     begin = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]
-    last = np.minimum(begin + shingle, first[1:][row]) - 1
-    values = span_hashes(joined, to[begin], till[last])
+    words = span_hashes(_LOWER[data], starts, ends)
+    values = sequence_hashes(words, begin, np.minimum(begin + shingle, first[1:][row]))
     order = np.lexsort((values, row))
     values, row = values[order], row[order]
     fresh = np.ones(len(row), bool)

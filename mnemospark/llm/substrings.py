@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, chunks, joined_words, materialize, span_hashes, text_buffers, word_spans
+from .common import as_long, chunks, gram_hashes, joined_words, materialize, sequence_hashes, span_hashes, text_buffers, word_spans
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -59,7 +59,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gra
         return {"row": none, "start": none, "windows": none, "m": none.view(np.uint64), "f": none.view(np.uint64), "grams": none}
     words = span_hashes(data, starts, ends)
     at = np.arange(len(words) - gram + 1)
-    grams = span_hashes(words, at, at + gram)
+    grams = gram_hashes(words, gram) if gram & (gram - 1) == 0 else sequence_hashes(words, at, at + gram)
     least = sliding_min(grams, window - gram + 1)
     row = np.repeat(np.arange(len(n_windows)), n_windows)
     place = np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
@@ -76,7 +76,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gra
     span = windows + window - gram
     each = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span) + np.repeat(begin, span)
     same = np.add.reduceat((grams[each] == np.repeat(m, span)).astype(np.int64), np.cumsum(span) - span)
-    f = span_hashes(words, begin, begin + windows + window - 1)
+    f = sequence_hashes(words, begin, begin + windows + window - 1)
     return {"row": row[heads], "start": place[heads], "windows": windows, "m": m, "f": f, "grams": same}
 
 
@@ -115,7 +115,7 @@ def _cut_runs(window: int):
                 at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 a = begin[of] + at
                 b = a + np.where(hot[of], 1, windows[of]) + window - 1
-                own = as_long(span_hashes(span_hashes(data, starts, ends), a, b)) if hot.any() else f[of]
+                own = as_long(sequence_hashes(span_hashes(data, starts, ends), a, b)) if hot.any() else f[of]
                 from_hot = hot[of]
                 words = [raw[s:e].decode() for s, e in zip(to[a].tolist(), till[b - 1].tolist())]
 
