@@ -258,6 +258,36 @@ def test_language_model(spark, awkward_rows, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_language_model_of_awkward_rows(awkward, awkward_rows):
+    got = lm.score_documents(awkward).collect()
+    assert len(got) == len(awkward_rows) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id == 1} == {1}
+
+
+def test_language_model_learns_from_contexts_and_repeats_itself(spark):
+    """Two languages of 40 words each: the word before tells which of them comes next, so known tokens gain on the start."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(1200):
+        own = [f"{'ab'[i % 2]}{k}" for k in range(40)]
+        rows.append((i, " ".join(rng.choices(own, [1 / (k + 1) for k in range(40)], k=rng.randint(20, 60)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").cache()
+    start, first, second = ({r.doc_id: r.score for r in lm.score_documents(docs, **a).collect() if r.held_out} for a in ({"rounds": 0}, {}, {}))
+    assert first == second
+    n = sum(len(t.split()) for i, t in rows if i in first)
+    # telling the two apart is worth log10(2) a token
+    assert (sum(first.values()) - sum(start.values())) / n > 0.2
+
+
+def test_company_groups():
+    table = np.zeros((6, 6))
+    for a, b in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)):
+        table[a, b] = 50
+    table[2, 3] = 1
+    g = lm.company_groups(table, 2)
+    assert g[0] == g[1] == g[2] != g[3] == g[4] == g[5]
+
+
 def brute_nearest(rows, k):
     rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
