@@ -4,7 +4,8 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
 WITH slim AS (
-  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h
+  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS h
   FROM documents),
 sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM slim GROUP BY source),
@@ -19,14 +20,12 @@ targets AS (
   SELECT source, source_size, CASE WHEN s.level IS NULL THEN lim ELSE least(lim, s.level * weight) END AS target FROM levels l CROSS JOIN settled s),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM targets),
-hashes AS (SELECT source, h, sum(size) AS words FROM slim GROUP BY source, h),
 summed AS (
-  SELECT b.source, h, words, copies, target - copies * source_size AS room, sum(words) OVER (PARTITION BY b.source ORDER BY h) AS upto
-  FROM hashes JOIN budgets b ON hashes.source IS NOT DISTINCT FROM b.source),
-passed AS (SELECT source, min(h) AS theta FROM summed WHERE upto - words / 2 > room GROUP BY source)
-SELECT doc_id, size, b.source_size, b.target,
-  CAST(size * (b.copies + CASE WHEN b.source_size > 0 AND (p.theta IS NULL OR h < p.theta) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM slim JOIN budgets b ON slim.source IS NOT DISTINCT FROM b.source LEFT JOIN passed p ON slim.source IS NOT DISTINCT FROM p.source
+  SELECT doc_id, size, b.source_size, b.target, copies, target - copies * b.source_size AS room,
+    sum(size) OVER (PARTITION BY b.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM slim JOIN budgets b ON slim.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN upto - size / 2 <= room THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed
 """
 
 ORACLES: dict[str, str] = {"op1_mixing": OP1}

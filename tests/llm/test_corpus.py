@@ -227,6 +227,28 @@ def test_mixing(awkward, awkward_rows, empty):
     assert mixed.columns == awkward.columns and mixed.count() == sum(r.passes for r in rows)
 
 
+def test_mixing_takes_as_many_of_equal_rows_as_the_target_needs(spark):
+    """A source of rows without ids, all equal or not, ends within half a document of its target."""
+    rows = [(None, "w " * 10, "a")] * 200 + [(None, f"x{k} " * 7, "b") for k in range(150)] + [(k, "y " * 900, "c") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    for r in mixing.mix_plan(docs).collect():
+        key = {10: "a", 7: "b", 900: "c"}[r.size]
+        taken[key] += r.taken
+        target[key], largest[key] = r.target, r.size
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in target) and len(target) == 3
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    names = ["h", "copies", "theta", "ties", "part", "size", "passes", "target", "doc", "_pass", "_source", "source_size"]
+    rows = spark.createDataFrame([(k, f"word {k} " * (k + 1), "ab"[k % 2]) for k in range(30)], "doc_id long, text string, source string")
+    docs = rows.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    plain = collections.Counter(r.doc_id for r in mixing.mix_documents(rows).collect())
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and collections.Counter(r.doc_id for r in out.collect()) == plain
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names)
+
+
 def test_mixing_with_many_sources_salts_the_join(awkward, monkeypatch):
     want = sorted(map(str, mixing.mix_plan(awkward).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
