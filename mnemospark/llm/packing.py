@@ -1,14 +1,14 @@
 """Packing documents into token-budget batches inside optimal length buckets.
 
 One pass gives the histogram of lengths. Dynamic programming over it finds the bucket boundaries with the least padding
-when every document is padded to its bucket's boundary. Inside a bucket the documents are numbered, by salted counts
-and offsets rather than one sort, and every floor(budget / boundary) of them form a batch.
+when every document is padded to its bucket's boundary. Inside a bucket the documents are numbered, by counts of the parts
+of the table that they lie in and offsets rather than one sort, and every floor(budget / boundary) of them form a batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,83 +16,94 @@ from .common import materialize, word_count
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-#: Lengths up to FINE are exact in the histogram; longer ones are rounded up, by less than 1 / GRID of the length.
-FINE = 2048
-GRID = 512
-SALT_ROWS = 100_000
 
 
-def length_grid(length):
-    """The histogram's value for a length column: itself up to FINE, else rounded up to 1/GRID of its power of two."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) + 1 - int(np.log2(GRID)) - 1)
-    return F.when(length <= FINE, length).otherwise((F.ceil(length / step) * step).cast("long")).cast("long")
+def _next_layer(before: np.ndarray, below: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padded sizes of the first i + 1 lengths with one bucket more than ``before`` (whose item j is the least size
+    of the first j lengths), and where that bucket begins.
+
+    The best beginning never moves back as i grows, so the middle of a range of i bounds those of both halves; all ranges
+    of one depth are searched at once.
+    """
+    d = len(lengths)
+    best, begin = np.zeros(d, np.int64), np.zeros(d, np.int64)
+    lo, hi, a, b = (np.array([x], np.int64) for x in (0, d - 1, 0, d - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        n = np.minimum(b, mid) - a + 1
+        heads = np.cumsum(n) - n
+        j = np.arange(int(n.sum())) - np.repeat(heads - a, n)
+        total = before[j] + (np.repeat(below[mid + 1], n) - below[j]) * np.repeat(lengths[mid], n)
+        least = np.minimum.reduceat(total, heads)
+        at = np.flatnonzero(total == np.repeat(least, n))
+        first = j[at[np.searchsorted(at, heads)]]
+        best[mid], begin[mid] = least, first
+        lo, hi, a, b = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (a, first), (first, b)))
+        some = lo <= hi
+        lo, hi, a, b = lo[some], hi[some], a[some], b[some]
+    return best, begin
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Ascending boundaries (at most ``buckets``, the last being the largest length) with the least total padding."""
+    """Ascending boundaries (at most ``buckets``, the last being the largest length) with the least total padding.
+
+    Exact, in integers; the time grows with buckets * distinct lengths * the logarithm of these.
+    """
     order = np.argsort(lengths)
     lengths, counts = np.asarray(lengths)[order].astype(np.int64), np.asarray(counts)[order].astype(np.int64)
     d = len(lengths)
     if d <= buckets:
         return lengths.tolist()
-    below = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    cost = below[1:] * lengths  # of one bucket up to i
-    choice = np.zeros((buckets, d), np.int64)
-    for k in range(1, buckets):
-        best = np.full(d, np.inf)
-        for at in range(0, d, 256):
-            i = np.arange(at, min(at + 256, d))
-            # the bucket before ends at j: cost[j] + (documents in j+1..i) * lengths[i]
-            j = np.arange(0, i[-1] + 1)
-            total = cost[j][None, :] + (below[i + 1][:, None] - below[j + 1][None, :]) * lengths[i][:, None]
-            total[j[None, :] >= i[:, None]] = np.inf
-            choice[k, i] = np.argmin(total, axis=1)
-            best[i] = total[np.arange(len(i)), choice[k, i]]
-        short = best >= cost
-        best[short], choice[k, short] = cost[short], -1
-        cost = best
+    below = np.concatenate([[0], np.cumsum(counts)])
+    sizes = below[1:] * lengths  # with one bucket
+    begins = [np.zeros(d, np.int64)]
+    for _ in range(1, buckets):
+        sizes, begin = _next_layer(np.concatenate([[0], sizes]), below, lengths)
+        begins.append(begin)
     out, i, k = [], d - 1, buckets - 1
     while i >= 0:
         out.append(int(lengths[i]))
-        i = int(choice[k, i]) if k > 0 else -1
-        k -= 1
+        i, k = int(begins[k][i]) - 1, max(k - 1, 0)
     return out[::-1]
 
 
-def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens (words), bucket_length, batch_id, slot, padding, batch_rows.
+def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, the columns named in ``keep``, n_tokens (words), bucket_length, batch_id, slot, padding,
+    batch_rows.
 
     A batch holds floor(budget / bucket_length) documents of one bucket (one, where a document alone exceeds the
     budget), so its padded size stays within the budget; only the last batch of a bucket may be short. batch_id counts
-    through all buckets. Null text has length 0; repeated ids are packed as often as they come; an empty table gives
-    no rows. The histogram has at most some FINE + GRID * 40 rows, so the driver's share is bounded.
+    through all buckets. Null text has length 0; repeated and null ids are packed as often as they come, numbered by the
+    part of the table that they lie in, so ties share no task; an empty table gives no rows. The driver takes one number
+    for each distinct length: at most the square root of twice the number of all words.
     """
-    slim = materialize(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")).withColumn("grid", length_grid(F.col("n_tokens"))), "pack-lengths")
-    histogram = slim.groupBy("grid").count().collect()
-    lengths, counts = np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64)
+    given = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
+    slim = docs.select("doc_id", *given, word_count(F.col("text")).alias("n_tokens"), F.spark_partition_id().alias("part"))
+    slim = materialize(slim, "pack-lengths")
+    histogram = slim.groupBy("n_tokens").count().toArrow()
+    lengths, counts = (histogram.column(k).to_numpy().astype(np.int64) for k in (0, 1))
     bounds = optimal_boundaries(lengths, counts, buckets) or [0]
     held = [int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds[:-1]], bounds)]
     room = [max(1, budget // max(b, 1)) for b in bounds]
     first_batch = np.concatenate([[0], np.cumsum([-(-n // r) for n, r in zip(held, room)])])[:-1]
-    salts = max(1, -(-int(counts.sum()) // SALT_ROWS))
 
     where = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
-        where = F.when(F.col("grid") <= bounds[k], F.lit(k)).otherwise(where)
-    key = F.xxhash64("doc_id")
-    placed = slim.select("doc_id", "n_tokens", where.alias("bucket"), key.alias("key"), F.pmod(key, F.lit(salts)).alias("salt"))
-    sizes = placed.groupBy("bucket", "salt").count()
-    before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("bucket").alias("_b"), F.col("salt").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("key", "doc_id", "n_tokens")))
-    numbered = numbered.join(offsets, (F.col("bucket") == F.col("_b")) & (F.col("salt") == F.col("_s")))
-
-    def of(values) -> F.Column:
+        where = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(where)
+    placed = slim.withColumns({"bucket": where, "key": F.xxhash64("doc_id")})
+    sizes = placed.groupBy("bucket", "part").count()
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("bucket").alias("_b"), F.col("part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("key", "doc_id", "n_tokens")))
+    numbered = numbered.join(offsets, (F.col("bucket") == F.col("_b")) & (F.col("part") == F.col("_p")))
+
+    def of(values) -> Column:
         return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
 
     place = F.col("offset") + F.col("row") - 1
     return numbered.withColumns({"bucket_length": of(bounds), "_room": of(room), "_first": of(first_batch), "_held": of(held)}).select(
         "doc_id",
+        *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)],
         "n_tokens",
         "bucket_length",
         (F.col("_first") + F.floor(place / F.col("_room"))).cast("long").alias("batch_id"),

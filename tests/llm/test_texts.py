@@ -119,11 +119,31 @@ def test_packing(awkward, awkward_rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_length_grid_rounds_up_slightly(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(0, 200_000, 37).select("id", packing.length_grid(F.col("id")).alias("g")).collect()
-    assert all(r.id <= r.g <= max(r.id, r.id * (1 + 2 / packing.GRID)) for r in rows) and all(r.id == r.g for r in rows if r.id <= packing.FINE)
+def brute_layers(lengths, counts, buckets):
+    """Least padded size, by the plain quadratic recurrence."""
+    below = np.concatenate([[0], np.cumsum(counts)])
+    best = below[1:] * lengths
+    for _ in range(1, buckets):
+        held = np.concatenate([[0], best])
+        best = np.array([(held[: i + 1] + (below[i + 1] - below[: i + 1]) * lengths[i]).min() for i in range(len(lengths))])
+    return int(best[-1])
+
+
+def test_boundaries_are_optimal_over_long_lengths():
+    rng = np.random.default_rng(5)
+    for buckets in (2, 5, 16):
+        lengths = np.unique(np.concatenate([rng.integers(0, 3000, 900), (10 ** rng.uniform(3, 6, 600)).astype(np.int64)]))
+        counts = rng.integers(1, 50, len(lengths))
+        bounds = np.array(packing.optimal_boundaries(lengths, counts, buckets))
+        assert len(bounds) <= buckets and int((counts * bounds[np.searchsorted(bounds, lengths)]).sum()) == brute_layers(lengths, counts, buckets)
+
+
+def test_packing_without_ids_keeps_columns(spark):
+    rows = [(None, "a b c " * (k % 5), f"r{k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(4)
+    out = packing.pack_documents(docs, 3, 40, keep=("part", "text")).collect()
+    assert sorted(r.part for r in out) == sorted(f"r{k}" for k in range(500)) and all(r.n_tokens == len(r.text.split()) for r in out)
+    assert len({(r.batch_id, r.slot) for r in out}) == 500
 
 
 def labelled(spark, n=1500):
