@@ -87,9 +87,14 @@ class FMIndex:
         a, b = self.suffix[:-1], self.suffix[1:]
         new = np.ones(n, bool)
         new[1:] = (held[a] != held[b]) | (tail[a] != tail[b])
-        heads = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
-        self.heads = np.append(heads, n)
+        self.heads = np.append(np.flatnonzero(new), n)
+        self.begins = BitRank(new)
+
+    def release(self) -> np.ndarray:
+        """The suffix array, which the search does without: what stays are bit vectors and counts."""
+        suffix = self.suffix
+        del self.suffix
+        return suffix
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of symbol + P for the rows [lo, hi) of P."""
@@ -98,7 +103,7 @@ class FMIndex:
 
     def widen(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the first ``depth`` symbols of the pattern that row ``lo`` begins with."""
-        g = self.group[lo]
+        g = self.begins.rank1(lo + 1) - 1
         return self.heads[g], self.heads[g + 1]
 
     def statistics(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray):

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_long, chunks, gram_hashes, joined_words, materialize, sequence_hashes, span_hashes, text_buffers, word_spans
+from .common import as_long, chunks, gram_hashes, joined_words, materialize, sequence_hashes, span_hashes, text_buffers, word_count, word_spans
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -146,7 +147,7 @@ def repeated_windows(words: pa.ChunkedArray | pa.Array, times: np.ndarray, windo
     begin = first[:-1] + np.arange(n)
     index = FMIndex(text, int(symbols.max(initial=0)), window)
     owner = np.repeat(np.arange(n), sizes + 1)
-    weight = np.concatenate([[0], np.cumsum(times[owner[index.suffix]])])
+    weight = np.concatenate([[0], np.cumsum(times[owner[index.release()]])])
     repeat = np.zeros(len(text) + 1, np.int64)
     for _, at, lo, hi in index.statistics(text, begin, begin + sizes):
         hit = at[weight[hi] - weight[lo] >= 2]
@@ -170,8 +171,9 @@ def _search_shard(window: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """``(tkey, tkey2, spans)`` for each distinct text of ``texts (text, tkey, tkey2)`` with a repeated window.
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
+    """``(tkey, tkey2, spans)`` for each distinct text of ``texts (text, tkey, tkey2)`` with a repeated window, and
+    ``(tkey, tkey2, text)`` of all distinct texts that were searched, these among them.
 
     spans is [from, to, from, to, ...] in words of that text; ranges may overlap.
     """
@@ -186,9 +188,10 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     any_hot = (facts[1] or 0) > hot_runs and hot.limit(1).count() > 0
     distinct = distinct.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else distinct.withColumn("hot", F.lit(False))
     wanted = distinct.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "f", "times", "start", "windows", "hot")).alias("runs"))
-    # one copy of each text suffices to cut its runs out
+    # one copy of each text suffices to cut its runs out; this is the only time that all texts are shuffled
     single = texts.select("text", *KEYS).dropDuplicates(KEYS)
-    cut = single.join(wanted, KEYS).select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string, hot_m long, hot_f long, at int")
+    searched = materialize(single.join(wanted, KEYS).select("text", "runs", *KEYS), "sub-searched")
+    cut = searched.select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string, hot_m long, hot_f long, at int")
     pieces = cut.select("m", "f", "times", "words")
     if any_hot:
         cut = materialize(cut, "sub-cut")
@@ -205,60 +208,80 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         marked = marked.union(spans.select(F.col("hot_m").alias("m"), F.col("hot_f").alias("f"), "spans"))
     placed = likely.join(marked, ["m", "f"]).groupBy(*KEYS, "start").agg(F.first("spans").alias("spans"))
     placed = placed.select(*KEYS, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return placed.groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def _cut_repeats(n_other: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                starts, ends, first = word_spans(data, offsets)
-                spans = rows.column(1)
-                counts = np.zeros(rows.num_rows, np.int64)
-                counts[:] = np.diff(spans.offsets.to_numpy())
-                if spans.null_count:
-                    counts[spans.is_null().to_numpy(zero_copy_only=False)] = 0
-                flat = spans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                base = np.repeat(first[:-1], counts)
-                change = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(change, (base + flat)[::2], 1)
-                np.add.at(change, (base + flat)[1::2], -1)
-                keep = np.cumsum(change)[: len(starts)] == 0
-                left = np.concatenate([[0], np.cumsum(keep)])
-                n_words = np.diff(first)
-                n_kept = left[first[1:]] - left[first[:-1]]
-                joined, to, till = joined_words(data, starts[keep], ends[keep])
-                raw = joined.tobytes()
-                begin = left[first[:-1]]
-                kept = [raw[to[a] : till[a + n - 1]].decode() if n else "" for a, n in zip(begin.tolist(), n_kept.tolist())]
-                other = [rows.column(2 + k) for k in range(n_other)]
-                yield pa.RecordBatch.from_arrays([*other, rows.column(0), pa.array(n_words), pa.array(n_words - n_kept), pa.array(kept, pa.large_string()).cast(pa.string())], names=[*[f"_{k}" for k in range(n_other)], "text", "n_words", "n_removed", "kept_words"])
-
-    return run
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """Rows of ``docs`` (all its columns) with n_words, n_removed and kept_words: the words that no repeated window
-    covers, joined by single spaces.
+    return placed.groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans")), searched.select("text", *KEYS)
+
+
+def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, spans, ...) with n_words, n_removed and kept_words instead of the spans."""
+    for batch in batches:
+        for rows, data, offsets in chunks(batch):
+            starts, ends, first = word_spans(data, offsets)
+            spans = rows.column("spans")
+            counts = np.zeros(rows.num_rows, np.int64)
+            counts[:] = np.diff(spans.offsets.to_numpy())
+            if spans.null_count:
+                counts[spans.is_null().to_numpy(zero_copy_only=False)] = 0
+            flat = spans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            base = np.repeat(first[:-1], counts)
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, (base + flat)[::2], 1)
+            np.add.at(change, (base + flat)[1::2], -1)
+            keep = np.cumsum(change)[: len(starts)] == 0
+            left = np.concatenate([[0], np.cumsum(keep)])
+            n_words = np.diff(first)
+            n_kept = left[first[1:]] - left[first[:-1]]
+            joined, to, till = joined_words(data, starts[keep], ends[keep])
+            raw = joined.tobytes()
+            begin = left[first[:-1]]
+            kept = [raw[to[a] : till[a + n - 1]].decode() if n else "" for a, n in zip(begin.tolist(), n_kept.tolist())]
+            others = [c for c in rows.schema.names if c != "spans"]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in others], pa.array(n_words), pa.array(n_words - n_kept), pa.array(kept, pa.large_string()).cast(pa.string())], names=[*others, *CUT])
+
+
+CUT = ("n_words", "n_removed", "kept_words")
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """``(doc, n_words, n_removed, kept_words)``: each row of ``docs`` as a struct, whatever its columns' names, with its
+    words that no repeated window covers, joined by single spaces.
 
     A window is ``window`` consecutive words of one text; it is a repeat if its word sequence also starts anywhere
     else, in the same text or another row. Null text counts as empty and stays null; texts shorter than a window
-    lose nothing; copies lose all their windows. Ids play no part, so null and repeated ids are fine. The columns
-    n_words, n_removed and kept_words of ``docs``, if any, are replaced.
+    lose nothing; copies lose all their windows. Ids play no part, so null and repeated ids are fine.
     """
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_words")]
-    named = docs.select("text", *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)], F.col("text").isNull().alias("_null"))
-    rows = keyed(named)
-    spans = repeated_spans(rows.select("text", *KEYS), window, gram, hot_runs)
-    joined = rows.join(spans, KEYS, "left").select("text", "spans", *[f"_{k}" for k in range(len(others))], "_null")
-    schema = ", ".join([*[f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)], "_null boolean", "text string, n_words long, n_removed long, kept_words string"])
-    cut = joined.withColumnRenamed("_null", f"_{len(others)}").mapInArrow(_cut_repeats(len(others) + 1), schema.replace("_null boolean", f"_{len(others)} boolean"))
-    text = F.when(F.col(f"_{len(others)}"), F.lit(None)).otherwise(F.col("text")).alias("text")
-    by_name = {c: F.col(f"_{k}").alias(c) for k, c in enumerate(others)} | {"text": text}
-    return cut.select(*[by_name[c] for c in docs.columns if c in by_name], "n_words", "n_removed", "kept_words")
+    names = docs.columns
+    other = F.struct(F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"])
+    rows = keyed(docs.select("text", other.alias("other")))
+    spans, _ = repeated_spans(rows.select("text", *KEYS), window, gram, hot_runs)
+    joined = rows.join(spans, KEYS, "left").select("text", "other", "spans")
+    schema = T.StructType([rows.schema["text"], rows.schema["other"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType())])
+    cut = joined.mapInArrow(_cut_spans, schema)
+    text = F.when(~F.col("other.none"), F.col("text"))
+    return cut.select(F.struct(*[text.alias("text") if c == "text" else F.col(f"other.c{k}").alias(c) for k, c in enumerate(names)]).alias("doc"), *CUT)
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """Rows of ``docs`` (all its columns) with n_words, n_removed and kept_words, as ``cut_documents`` gives them; columns of
+    these names in ``docs``, if any, are replaced."""
+    cut = cut_documents(docs, window, gram, hot_runs)
+    return cut.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in CUT], *CUT)
 
 
 def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 of the kept words."""
-    out = dedup_substrings(docs.select("doc_id", "text"), window)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 of the kept words.
+
+    Only texts with repeats are cut, one copy of each; all rows get their counts and digests by a join of narrow rows, so
+    a text in very many rows is no heavier there than others.
+    """
+    rows = keyed(docs.select("doc_id", "text"))
+    spans, searched = repeated_spans(rows.select("text", *KEYS), window)
+    schema = T.StructType([*[rows.schema[c] for c in ("text", *KEYS)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType())])
+    cut = searched.join(spans, KEYS).select("text", *KEYS, "spans").mapInArrow(_cut_spans, schema)
+
+    def digest(words: Column) -> Column:
+        return F.sha2(words.cast("binary"), 256)
+
+    found = cut.select(*KEYS, "n_removed", digest(F.col("kept_words")).alias("cut_sha256"))
+    plain = F.trim(F.regexp_replace(F.translate("text", "\t\n\x0b\x0c\r", "     "), " +", " "))
+    narrow = rows.select("doc_id", *KEYS, word_count(F.col("text")).alias("n_words"), digest(plain).alias("sha256"))
+    return narrow.join(found, KEYS, "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))

@@ -413,6 +413,17 @@ def test_arrow_buffers_of_slices():
     assert data.tobytes() == b"bccc" and offsets.tolist() == [0, 0, 1, 4]
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ["n_words", "n_removed", "kept_words", "spans", "other", "h", "copies", "theta", "part", "doc", "row", "print", "whole", "score", "kept", "key", "u", "v"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "test-clash")
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -46,6 +46,15 @@ def test_repetition_rows(awkward, awkward_rows, empty):
     assert got[13][0].kept and repetition.judge_repetition(empty).count() == 0
 
 
+def test_lines_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    rows = [(1, f"{one}\n{other}"), (2, f"{one}\n{one}"), (3, " ".join(one) + "\n" + " ".join(other))]
+    got = {r.doc_id: r for r in repetition.judge_repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_dup_lines == 0 and got[2].n_dup_lines == 1 and got[3].n_dup_lines == 0 and got[1].n_words == 2
+
+
 def test_verdict_adds_to_the_base_rules(spark):
     base = [f"w{k}" for k in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:150] + base[20:50] + base[150:])), (3, " ".join(base[:101] + [f"v{k}" for k in range(1000)] + base[:101]))]
