@@ -23,6 +23,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _STEP = _U64(0x9E3779B97F4A7C15)
 #: Spans beyond this many bytes are hashed one by one.
 _BLOCKWISE = 64
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault(spark.sparkContext.applicationId, f"{tempfile.gettempdir()}/mnemospark-{spark.sparkContext.applicationId}")
     return found.rstrip("/")
 
 

@@ -1,15 +1,17 @@
 """Quality classification by co-training two views of a document.
 
-The text view sees which words and glyph runs a text holds; the page view sees its metadata and shape (language,
-source, length, letter case, symbols, lines, variety). Both are logistic models fitted on labelled documents. Over
-rounds each view labels unlabelled documents of which it is sure and hands them to the other view. Held-out labels
-calibrate both and fit their combination, which then scores all documents.
+The text view sees which words and glyph runs a text holds and its shape (length, letter case, symbols, lines, variety);
+the page view sees only metadata: language, source, stated length. Both are logistic models fitted on labelled documents.
+Over rounds each view labels all unlabelled documents of which it is sure and hands them to the other view: every part of
+the table fits both views from the common weights on the labelled rows and its own pseudo-labels, and the weights are
+averaged. Held-out labels calibrate both views, others fit their combination, which then scores all documents.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +21,18 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import chunks, materialize, span_hashes, word_spans
 
-#: Bounds of the fit: labelled rows, unlabelled rows (both by smallest hash of the id), rounds.
+#: Bound of the fit: labelled rows (by smallest hash of the id); unlabelled ones all serve.
 MAX_LABELLED = 10_000
-MAX_POOL = 10_000
 ROUNDS = 3
 SURE = 0.98
-#: A round hands over at most this share of the pool.
-ROUND_SHARE = 0.2
+#: Gradient steps on the labelled rows, then of each part in each round.
+STEPS, PART_STEPS = 150, 30
 TEXT_BITS = 18
 TEXT_FEATURES = 2048
 LEAST_ROWS = 5
 LEAST_Z = 3.5
 LEAST_LIFT = 3.0
-#: Quantiles of the labelled rows at which the page view cuts each shape: finer towards the tails.
+#: Quantiles of the labelled rows at which shapes and lengths are cut: finer towards the tails.
 CUTS = (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.25, 0.5, 0.75, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99)
 BINS = len(CUTS) - 1
 THRESHOLD = 0.5
@@ -70,7 +71,7 @@ def text_view(data: np.ndarray, offsets: np.ndarray, bits: int = TEXT_BITS) -> t
     return both & ((1 << bits) - 1), np.bincount(both >> bits, minlength=rows)
 
 
-def page_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def text_shape(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The shape of each text, one column for each name in SHAPE."""
     rows = len(offsets) - 1
     starts, ends, first = word_spans(data, offsets)
@@ -104,28 +105,43 @@ def _named(column: pa.Array, buckets: int) -> np.ndarray:
     return lookup[index]
 
 
-FEATURES = "features array<int>, shape array<double>, lang_key int, source_key int"
+FEATURES = "features array<int>, shape array<double>, n_chars double, lang_key int, source_key int"
 LANG_KEYS, SOURCE_KEYS = 32, 256
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice of (doc_id, text, lang, source): rows, features, how many, shape, language and source keys."""
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    """Per slice of (text, lang, source, n_chars, ...): rows; features, how many, shape, stated lengths, language and
+    source keys."""
     for batch in batches:
         for rows, data, offsets in chunks(batch):
             features, many = text_view(data, offsets)
-            yield rows, features, many, page_view(data, offsets), _named(rows.column(2), LANG_KEYS), _named(rows.column(3), SOURCE_KEYS)
+            stated = np.log1p(np.maximum(rows.column("n_chars").fill_null(0.0).to_numpy(zero_copy_only=False), 0.0))
+            yield rows, (features, many, text_shape(data, offsets), stated, _named(rows.column("lang"), LANG_KEYS), _named(rows.column("source"), SOURCE_KEYS))
 
 
 def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, features, many, shape, lang, source in _featurise(batches):
+    for rows, (features, many, shape, stated, lang, source) in _featurise(batches):
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(features.astype(np.int32)))
         shapes = pa.ListArray.from_arrays(np.arange(0, shape.size + 1, shape.shape[1]).astype(np.int32), pa.array(shape.ravel()))
-        yield pa.RecordBatch.from_arrays([rows.column(0), lists, shapes, pa.array(lang.astype(np.int32)), pa.array(source.astype(np.int32))], names=["doc_id", "features", "shape", "lang_key", "source_key"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("bad"), lists, shapes, pa.array(stated), pa.array(lang.astype(np.int32)), pa.array(source.astype(np.int32))], names=["doc_id", "bad", *FEATURE_NAMES])
 
 
-def fit_logistic(index: np.ndarray, row: np.ndarray, y: np.ndarray, width: int, weights: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> np.ndarray:
+FEATURE_NAMES = ("features", "shape", "n_chars", "lang_key", "source_key")
+
+
+def _views_of(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """What ``_featurise`` gives, read back from rows of ``_emit_features``."""
+    lists, shapes = table.column("features"), table.column("shape")
+    if isinstance(lists, pa.ChunkedArray):
+        lists, shapes = lists.combine_chunks(), shapes.combine_chunks()
+    shape = shapes.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(SHAPE))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), shape, *(table.column(c).to_numpy() for c in FEATURE_NAMES[2:])
+
+
+def fit_logistic(row: np.ndarray, index: np.ndarray, y: np.ndarray, weights: np.ndarray, start: np.ndarray, steps: int, ridge: float = 1e-3) -> np.ndarray:
     """Weights (the last is the bias) of a logistic model over 0/1 features given as (row, index) pairs; full-batch Adam."""
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    w, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    width = len(start) - 1
     scale = weights.sum()
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=w[index], minlength=len(y)) + w[-1]
@@ -137,180 +153,272 @@ def fit_logistic(index: np.ndarray, row: np.ndarray, y: np.ndarray, width: int,
     return w
 
 
-class View:
-    """One view's sparse 0/1 rows with a logistic model over them."""
-
-    def __init__(self, row: np.ndarray, index: np.ndarray, width: int, n: int):
-        self.row, self.index, self.width, self.n = row, index, width, n
-        self.w = np.zeros(width + 1)
-
-    def fit(self, use: np.ndarray, y: np.ndarray) -> None:
-        """Fit on the rows in ``use`` with targets ``y``."""
-        place = np.full(self.n, -1)
-        place[use] = np.arange(len(use))
-        inside = place[self.row] >= 0
-        self.w = fit_logistic(self.index[inside], place[self.row[inside]], y.astype(float), self.width, np.ones(len(use)))
-
-    def logit(self) -> np.ndarray:
-        return np.bincount(self.row, weights=self.w[self.index], minlength=self.n) + self.w[-1]
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _dense_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton's method for a few dense features and a bias, with a slight ridge."""
+def _dense_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Newton's method for a few dense features and a bias, with a slight ridge towards ``prior``: few rows change little."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w = prior.astype(float)
     for _ in range(30):
         p = _sigmoid(x @ w)
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w)
+        w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * (w - prior))
     return w
 
 
-def page_features(shape: np.ndarray, lang: np.ndarray, source: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """0/1 features of the page view as (row, index) pairs and their number: binned shape, language, source."""
-    n, k = shape.shape
-    parts = [j * (BINS + 2) + np.searchsorted(edges[j], shape[:, j], side="right") for j in range(k)]
-    base = k * (BINS + 2)
-    parts += [base + lang, base + LANG_KEYS + source]
-    return np.repeat(np.arange(n), k + 2), np.column_stack(parts).ravel(), base + LANG_KEYS + SOURCE_KEYS
+def _cut(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, values, side="right")
+
+
+Pairs = tuple[np.ndarray, np.ndarray]
 
 
 class CoTrained:
-    """The fitted pair of views with its combination; scores features of any document."""
-
-    def __init__(self, table: pa.Table, bad: np.ndarray, known: np.ndarray, rounds: int = ROUNDS):
-        """``table``: features of the bounded sample; ``bad``: 1 or 0 where ``known``."""
-        n = table.num_rows
-        lists = table.column("features").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        shape = np.stack(table.column("shape").to_numpy()) if n else np.zeros((0, len(SHAPE)))
-        lang, source = table.column("lang_key").to_numpy(), table.column("source_key").to_numpy()
-        labelled = np.flatnonzero(known)
-        held = labelled[::5]  # rows come ordered by hash
-        train = np.setdiff1d(labelled, held)
-        # the text view keeps the features whose presence speaks most against a text, so that short texts are not suspect
-        is_train = np.zeros(n, bool)
-        is_train[train] = True
+    """The pair of views, their calibrations and their combination. Scores are logits of being bad."""
+
+    def __init__(self, views: tuple[np.ndarray, ...], bad: np.ndarray):
+        """Fit on labelled rows, which come ordered by hash: three fifths train, one calibrates, one combines."""
+        self.bad, self.fold = bad, np.arange(len(bad)) % 5
+        self.views = views
+        train = self.fold < 3
+        shape, stated = views[2][train], views[3][train]
+        self.edges = [np.quantile(column, CUTS) if len(column) else np.zeros(len(CUTS)) for column in (*shape.T, stated)]
+        seen = np.repeat(train, views[1])
+        at = np.repeat(bad, views[1])[seen]
         size = 1 << TEXT_BITS
-        n1, n0 = max(1, int(bad[train].sum())), max(1, int((1 - bad[train]).sum()))
-        has = is_train[row]
-        c1 = np.bincount(flat[has], weights=bad[row[has]], minlength=size)
-        c0 = np.bincount(flat[has], minlength=size) - c1
+        #: Of the training rows: how many hold each feature, bad ones and others, and how many there are.
+        self.counts = np.stack([np.bincount(views[0][seen], weights=at, minlength=size), np.bincount(views[0][seen], weights=1 - at, minlength=size)])
+        self.rows = np.array([bad[train].sum(), (1 - bad[train]).sum()], float)
+        self.chosen = np.zeros(0, np.int64)
+        self.text_w, self.page_w = np.zeros(self._bins() + 1), np.zeros(BINS + 2 + LANG_KEYS + SOURCE_KEYS + 1)
+        self.choose(np.zeros_like(self.counts), np.zeros(2))
+        base = np.log((self.rows[0] + 0.5) / (self.rows[1] + 0.5))
+        self.text_w[-1] = self.page_w[-1] = base
+        self.text_w, self.page_w = self.fitted(*self.training(), STEPS)
+        self.finish()
+
+    @staticmethod
+    def _bins() -> int:
+        return len(SHAPE) * (BINS + 2)
+
+    def choose(self, counts: np.ndarray, rows: np.ndarray) -> None:
+        """Keep the features whose presence speaks most against a text, by the labelled rows and ``counts`` of pseudo-
+        labelled ones: only such, so that short texts are not suspect. Weights of features that stay are kept."""
+        c1, c0 = self.counts + counts
+        n1, n0 = np.maximum(self.rows + rows, 1)
         p = (c1 + c0 + 1) / (n1 + n0 + 2)
         z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         z[(c1 + c0 < LEAST_ROWS) | (c1 / n1 < LEAST_LIFT * c0 / n0)] = 0
         chosen = np.sort(np.argsort(-z, kind="stable")[:TEXT_FEATURES])
-        self.chosen = chosen[z[chosen] >= LEAST_Z]
-        self.slot = np.full(size, -1, np.int32)
-        self.slot[self.chosen] = np.arange(len(self.chosen))
-        keep = self.slot[flat] >= 0
-        text = View(row[keep], self.slot[flat[keep]].astype(np.int64), len(self.chosen), n)
-        self.edges = np.stack([np.quantile(shape[train, j], CUTS) for j in range(shape.shape[1])])
-        page = View(*page_features(shape, lang, source, self.edges), n)
-        views = (text, page)
-        sets = [(train, bad[train]), (train, bad[train])]
-        pool = np.flatnonzero(~known)
-        for k in range(rounds + 1):
-            for view, (use, y) in zip(views, sets):
-                view.fit(use, y)
-            if k == rounds or not len(pool):
-                break
-            for k_from, k_to in ((0, 1), (1, 0)):
-                p = _sigmoid(views[k_from].logit()[pool])
-                sure = np.maximum(p, 1 - p)
-                use, y = sets[k_to]
-                new = pool[(sure >= SURE) & ~np.isin(pool, use)]
-                best = new[np.argsort(-sure[np.searchsorted(pool, new)], kind="stable")[: int(ROUND_SHARE * len(pool))]]
-                sets[k_to] = np.append(use, best), np.append(y, (p[np.searchsorted(pool, best)] > 0.5).astype(y.dtype))
-        logits = [v.logit()[held] for v in views]
-        target = bad[held].astype(float)
-        self.calibration = [_dense_logistic(z[:, None], target) for z in logits]
-        calibrated = np.column_stack([c[0] * z + c[1] for c, z in zip(self.calibration, logits)])
-        self.combination = _dense_logistic(calibrated, target)
-        self.text_w, self.page_w = text.w, page.w
-
-    def score(self, features, many, shape, lang, source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of being good: by the text view, by the page view, by both."""
+        chosen = chosen[z[chosen] >= LEAST_Z]
+        held = dict(zip(self.chosen.tolist(), self.text_w[: len(self.chosen)].tolist()))
+        self.text_w = np.concatenate([[held.get(f, 0.0) for f in chosen.tolist()], self.text_w[len(self.chosen) :]])
+        self.chosen = chosen
+        self.slot = np.full(1 << TEXT_BITS, -1, np.int32)
+        self.slot[chosen] = np.arange(len(chosen))
+
+    def text_pairs(self, views: tuple[np.ndarray, ...]) -> Pairs:
+        """0/1 features of the text view as (row, index): chosen words and glyph runs, cut shapes."""
+        features, many, shape = views[:3]
         n = len(many)
-        row = np.repeat(np.arange(n), many)
         slot = self.slot[features]
         keep = slot >= 0
-        text = np.bincount(row[keep], weights=self.text_w[slot[keep]], minlength=n) + self.text_w[-1]
-        row, index, _ = page_features(shape, lang, source, self.edges)
-        page = np.bincount(row, weights=self.page_w[index], minlength=n) + self.page_w[-1]
-        a, b = (c[0] * z + c[1] for c, z in zip(self.calibration, (text, page)))
+        bins = [len(self.chosen) + j * (BINS + 2) + _cut(shape[:, j], self.edges[j]) for j in range(len(SHAPE))]
+        return np.concatenate([np.repeat(np.arange(n), many)[keep], np.repeat(np.arange(n), len(SHAPE))]), np.concatenate([slot[keep], np.column_stack(bins).ravel()]).astype(np.int64)
+
+    def page_pairs(self, views: tuple[np.ndarray, ...]) -> Pairs:
+        """0/1 features of the page view: cut stated length, language, source."""
+        stated, lang, source = views[3:]
+        base = BINS + 2
+        return np.repeat(np.arange(len(stated)), 3), np.column_stack([_cut(stated, self.edges[-1]), base + lang, base + LANG_KEYS + source]).ravel().astype(np.int64)
+
+    def logits(self, views: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Of being bad: by the text view, by the page view."""
+        n = len(views[1])
+        return tuple(np.bincount(row, weights=w[index], minlength=n) + w[-1] for (row, index), w in ((self.text_pairs(views), self.text_w), (self.page_pairs(views), self.page_w)))
+
+    def training(self) -> tuple[Pairs, Pairs, np.ndarray, np.ndarray]:
+        """The labelled training rows in both views, their targets twice."""
+        place = np.cumsum(self.fold < 3) - 1
+        pairs = []
+        for row, index in (self.text_pairs(self.views), self.page_pairs(self.views)):
+            keep = self.fold[row] < 3
+            pairs.append((place[row[keep]], index[keep]))
+        y = self.bad[self.fold < 3].astype(float)
+        return pairs[0], pairs[1], y, y
+
+    def fitted(self, text: Pairs, page: Pairs, text_y: np.ndarray, page_y: np.ndarray, steps: int, text_weights: np.ndarray | None = None, page_weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of both views after some steps from the present ones."""
+        out = []
+        for (row, index), y, weights, w in ((text, text_y, text_weights, self.text_w), (page, page_y, page_weights, self.page_w)):
+            out.append(fit_logistic(row, index, y, np.ones(len(y)) if weights is None else weights, w, steps) if len(y) else w)
+        return out[0], out[1]
+
+    def fit_part(self, parts: Iterable[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both views' weights after steps on the labelled rows and on the documents of a part of the table of which the
+        other view is sure; how many of these there were for each, and the counts of the text view's. All pseudo-labels
+        of a part weigh as much as the labelled rows, or less if they are fewer."""
+        text, page, text_y, page_y = self.training()
+        texts, pages, ys = [text], [page], [[text_y], [page_y]]
+        counts = np.zeros_like(self.counts)
+        rows, n = np.zeros(2), [len(text_y), len(page_y)]
+        for views in parts:
+            z = self.logits(views)
+            for k, (pairs, into) in enumerate(((self.text_pairs(views), texts), (self.page_pairs(views), pages))):
+                p = _sigmoid(z[1 - k])
+                sure = np.maximum(p, 1 - p) >= SURE
+                place = np.cumsum(sure) - 1
+                row, index = pairs
+                keep = sure[row]
+                into.append((n[k] + place[row[keep]], index[keep]))
+                label = (p[sure] > 0.5).astype(float)
+                ys[k].append(label)
+                n[k] += len(label)
+                if k == 0 and len(label):
+                    held = np.repeat(sure, views[1])
+                    at = np.repeat((p > 0.5).astype(float), views[1])[held]
+                    counts += np.stack([np.bincount(views[0][held], weights=x, minlength=counts.shape[1]) for x in (at, 1 - at)])
+                    rows += [label.sum(), (1 - label).sum()]
+        y = [np.concatenate(x) for x in ys]
+        new = np.array([len(y[0]) - len(text_y), len(y[1]) - len(page_y)])
+        weights = [np.concatenate([np.ones(len(text_y)), np.full(m, min(1.0, len(text_y) / m) if m else 1.0)]) for m in new]
+        pairs = [tuple(np.concatenate(x) for x in zip(*into)) for into in (texts, pages)]
+        text_w, page_w = self.fitted(pairs[0], pairs[1], y[0], y[1], PART_STEPS, weights[0], weights[1])
+        return text_w, page_w, new, counts, rows
+
+    def finish(self) -> None:
+        """Calibrate the views on one fifth of the labelled rows and combine them on another."""
+        z = self.logits(self.views)
+        a, b = self.fold == 3, self.fold == 4
+        self.calibration = [_dense_logistic(x[a][:, None], self.bad[a].astype(float), np.array([1.0, 0.0])) for x in z]
+        calibrated = np.column_stack([c[0] * x[b] + c[1] for c, x in zip(self.calibration, z)])
+        self.combination = _dense_logistic(calibrated, self.bad[b].astype(float), np.array([0.5, 0.5, 0.0]))
+
+    def score(self, views: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of being good: by the text view, by the page view, by both."""
+        a, b = (c[0] * z + c[1] for c, z in zip(self.calibration, self.logits(views)))
         both = self.combination[0] * a + self.combination[1] * b + self.combination[2]
         return 1 - _sigmoid(a), 1 - _sigmoid(b), 1 - _sigmoid(both)
 
+    def slim(self) -> "CoTrained":
+        """What scoring needs, without the labelled rows."""
+        out = object.__new__(CoTrained)
+        for name in ("edges", "chosen", "slot", "text_w", "page_w", "calibration", "combination"):
+            setattr(out, name, getattr(self, name))
+        return out
+
 
-def _view_columns(docs: DataFrame) -> DataFrame:
+PART = "n binary, text_w binary, page_w binary, rows binary, counts binary"
+
+
+def _fit_parts(shared):
+    """Rows of unlabelled documents' features to one row for each part of the table: what it asks the weights to be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        full = (batch for batch in batches if batch.num_rows)
+        first = next(full, None)
+        if first is not None:
+            text_w, page_w, n, counts, rows = model.fit_part(map(_views_of, itertools.chain([first], full)))
+            held = np.flatnonzero(counts.any(axis=0))
+            packed = np.column_stack([held, counts[:, held].T])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (n, text_w, page_w, rows, packed)], names=["n", "text_w", "page_w", "rows", "counts"])
+
+    return run
+
+
+def co_train(model: CoTrained, unlabelled: DataFrame, rounds: int) -> None:
+    """Rounds over all unlabelled documents; each part's weights count by how many pseudo-labels it had.
+
+    What a part sends is bounded by the number of features, and is added up as it comes.
+    """
+    spark = unlabelled.sparkSession
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        weights, total = [np.zeros(len(model.text_w)), np.zeros(len(model.page_w))], np.zeros(2)
+        counts, rows = np.zeros_like(model.counts), np.zeros(2)
+        for part in unlabelled.mapInArrow(_fit_parts(shared), PART).toLocalIterator():
+            n, *both, own = (np.frombuffer(x, np.float64) for x in (part.n, part.text_w, part.page_w, part.rows))
+            for k in (0, 1):
+                weights[k] += n[k] * both[k]
+            total, rows = total + n, rows + own
+            packed = np.frombuffer(part.counts, np.float64).reshape(-1, 3)
+            counts[:, packed[:, 0].astype(np.int64)] += packed[:, 1:].T
+        shared.destroy()
+        if total[0]:
+            model.text_w = weights[0] / total[0]
+            model.choose(counts, rows)
+        if total[1]:
+            model.page_w = weights[1] / total[1]
+        if not total.any():
+            break
+    model.finish()
+
+
+def _view_columns(docs: DataFrame) -> list:
     have = set(docs.columns)
-    return docs.select("doc_id", "text", *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")])
+    given = [(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    return [F.col("text"), *given, (F.col("n_chars").try_cast("double") if "n_chars" in have else F.lit(None).cast("double")).alias("n_chars")]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fit on at most ``max_labelled`` labelled and ``max_pool`` other documents, taken by smallest hash of the id.
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> tuple[CoTrained | None, DataFrame]:
+    """The model and the features of all documents. At most ``max_labelled`` labelled documents, taken by smallest hash of
+    the id, fit it directly; all others take part in the rounds.
 
     A document is bad if its quality is 0 or it is toxic; rows with null quality do not count; of several labels for
-    one id the worst counts. None if fewer than 20 rows of either class are labelled.
+    one id the worst counts. Few labels, or of one class only, give a model near their share; none give no model.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id")
     marks = marks.agg(F.max(((F.col("quality") != 1) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
     order = F.xxhash64("doc_id")
     named = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_labelled)
-    rest = docs.select("doc_id").filter("doc_id is not null").distinct().join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool)
-    sample = materialize(named.union(rest.select("doc_id", F.lit(None).cast("int"))), "quality-sample")
-    if sample.groupBy("bad").count().filter("bad is not null and count >= 20").count() < 2:
-        return None
-    # the sample's size is bounded by the two parameters, so it is broadcast
-    columns = _view_columns(docs)
-    wanted = columns.join(F.broadcast(sample), "doc_id")
-    featured = wanted.select("doc_id", "text", "lang", "source").mapInArrow(_emit_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
-    once = featured.join(F.broadcast(sample), "doc_id").withColumn("_h", order)
-    table = materialize(once, "quality-features").orderBy("_h", "doc_id").toArrow()
-    bad = table.column("bad")
-    known = np.asarray(bad.is_valid())
-    return CoTrained(table, np.asarray(bad.fill_null(0)).astype(np.int64), known, rounds)
+    # bounded by the parameter, so it is broadcast
+    named = F.broadcast(materialize(named, "quality-labelled").withColumnRenamed("doc_id", "_id"))
+    rows = docs.select("doc_id", *_view_columns(docs)).join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    features = materialize(rows.mapInArrow(_emit_features, f"doc_id {kind}, bad int, {FEATURES}"), "quality-features")
+    labelled = features.filter("bad is not null").dropDuplicates(["doc_id"]).withColumn("_h", order).orderBy("_h", "doc_id").toArrow()
+    if not labelled.num_rows:
+        return None, features
+    model = CoTrained(_views_of(labelled), labelled.column("bad").to_numpy().astype(np.int64))
+    co_train(model, features.filter("bad is null").select(*FEATURE_NAMES), rounds)
+    return model.slim(), features
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """Rows of ``docs`` (doc_id only) with text_score, page_score, score (probabilities of being good) and kept.
 
-    kept: score >= threshold. Null text is empty; null lang or source is a value of its own. Too few labels: all rows
-    are kept with null scores. Every row is scored on its whole text, in place, without a shuffle.
+    kept: score >= threshold. Null text is empty; null lang, source or n_chars is a value of its own. Without any label all
+    rows are kept with null scores. Every row is scored on its whole text, in place, without a shuffle.
     """
-    model = fit_quality(docs, labels, **bounds)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    model, features = fit_quality(docs, labels, **bounds)
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select("doc_id", nothing.alias("text_score"), nothing.alias("page_score"), nothing.alias("score"), F.lit(True).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, *views in _featurise(batches):
-            a, b, both = model.score(*views)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "text_score", "page_score", "score", "kept"])
+        for rows in batches:
+            if rows.num_rows:
+                a, b, both = model.score(_views_of(rows))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "text_score", "page_score", "score", "kept"])
 
-    return _view_columns(docs).mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double, kept boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return features.select("doc_id", *FEATURE_NAMES).mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
-    model = fit_quality(docs, labels, **bounds)
+    model, _ = fit_quality(docs, labels, **bounds)
     if model is None:
         return docs
 
-    def run(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for text, lang, source in texts:
-            batch = pa.RecordBatch.from_arrays([text, text, lang, source], names=["doc_id", "text", "lang", "source"])
-            kept = [model.score(*views)[2] >= threshold for _, *views in _featurise([batch])]
+    def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for text, lang, source, n_chars in columns:
+            batch = pa.RecordBatch.from_arrays([text, lang, source, n_chars], names=["text", "lang", "source", "n_chars"])
+            kept = [model.score(views)[2] >= threshold for _, views in _featurise([batch])]
             yield pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
     judge = arrow_udf(run, "boolean")
-    have = set(docs.columns)
-    parts = [F.col("text"), *[(F.col(c) if c in have else F.lit(None)).cast("string") for c in ("lang", "source")]]
-    return docs.filter(judge(*parts))
+    return docs.filter(judge(*_view_columns(docs)))

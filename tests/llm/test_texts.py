@@ -1,6 +1,7 @@
 """Operators that judge each text by itself, against brute force."""
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mnemospark.llm import packing, quality, repetition, tokens
-from mnemospark.llm.common import chunks, materialize, word_spans
+from mnemospark.llm.common import chunks, materialize, span_hashes, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -185,6 +186,64 @@ def test_quality_on_unlabelled_rows(spark, awkward, awkward_rows, empty):
     assert quality.score_quality(both, labels).count() == len(truth) + len(awkward_rows)
 
 
+def brute_quality(model, text, lang, source, n_chars):
+    """Score of one document from the model's weights, by regular expressions and loops."""
+    raw = (text or "").encode()
+    lower = raw.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
+    runs = {lower[m.start() : m.end()] for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", raw)}
+    hashed = {int(span_hashes(np.frombuffer(r, np.uint8), np.array([0]), np.array([len(r)]))[0]) >> (64 - quality.TEXT_BITS) for r in runs}
+    z = model.text_w[-1] + sum(model.text_w[model.chosen.tolist().index(h)] for h in hashed if h in set(model.chosen.tolist()))
+    words = [w.encode() for w in WORD.findall(text or "")]
+    w, b = max(len(words), 1), max(len(raw), 1)
+    symbols = bytes(x for x in range(256) if not (chr(x).isalnum() and x < 128) and x < 128 and x not in b" \t\n\x0b\x0c\r.,;:'\"?-")
+    shape = [np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / w, sum(65 <= x <= 90 for x in raw) / b, sum(48 <= x <= 57 for x in raw) / b, sum(x in symbols for x in raw) / b, raw.count(10) / b]
+    shape += [len(set(words)) / w, sum(x == y for x, y in zip(words, words[1:])) / w]
+    width = quality.BINS + 2
+    for j, x in enumerate(shape):
+        z += model.text_w[len(model.chosen) + j * width + sum(e <= x for e in model.edges[j])]
+    page = model.page_w[-1] + model.page_w[sum(e <= np.log1p(n_chars or 0) for e in model.edges[-1])]
+    page += model.page_w[width + (0 if lang is None else 1 + zlib.crc32(lang.encode()) % (quality.LANG_KEYS - 1))]
+    page += model.page_w[width + quality.LANG_KEYS + (0 if source is None else 1 + zlib.crc32(source.encode()) % (quality.SOURCE_KEYS - 1))]
+    a, c = (k[0] * x + k[1] for k, x in zip(model.calibration, (z, page)))
+    return 1 / (1 + np.exp(model.combination[0] * a + model.combination[1] * c + model.combination[2]))
+
+
+def test_quality_scores_by_brute_force(spark, awkward):
+    docs, labels, _ = labelled(spark)
+    both = docs.limit(150).unionByName(awkward.select(docs.columns))
+    model, _ = quality.fit_quality(docs, labels)
+    got = sorted((r.doc_id or 0, round(r.score, 6)) for r in quality.score_quality(both, labels).collect())
+    again, _ = quality.fit_quality(both, labels)
+    want = sorted((r.doc_id or 0, round(float(brute_quality(again, r.text, r.lang, r.source, r.n_chars)), 6)) for r in both.collect())
+    assert len(got) == len(want) and all(i == j and abs(x - y) < 1e-5 for (i, x), (j, y) in zip(got, want))
+    assert len(model.chosen)
+
+
+def test_every_unlabelled_document_takes_part(spark):
+    """The text view is sure of documents from a source that no labelled one has; the page view learns it from all of them."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 2
+        words = " ".join(f"w{k}" for k in rng.integers(0, 50, 40)) + (" junk spam" if bad else "")
+        new = i >= 300
+        rows.append((i, words, "en", f"s{bad}" if new else "old", 200))
+        if not new:
+            labels.append((i, 1 - bad, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    model, features = quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    at = quality.BINS + 2 + quality.LANG_KEYS + 1
+    weight = [model.page_w[at + zlib.crc32(f"s{k}".encode()) % (quality.SOURCE_KEYS - 1)] for k in (0, 1)]
+    assert weight[1] - weight[0] > 2 and features.filter("bad is null").count() == 600
+
+
+def test_quality_with_few_labels(spark):
+    docs = spark.createDataFrame([(k, f"word{k} text", "en", "a", 10) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    for marks in ([(0, 1, 0)], [(0, 0, 0)], [(0, 1, 0), (1, 0, 0)]):
+        rows = quality.score_quality(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+        assert len(rows) == 30 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_materialized_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(5), "x")
     assert spark.conf.get("spark.checkpoint.dir").split("file:")[-1].strip("/") in df.inputFiles()[0] and df.count() == 5
