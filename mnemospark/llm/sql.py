@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data operators that SQL can express."""
 
+from .reputation import TWO_LABEL_SUFFIXES
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
@@ -32,14 +34,17 @@ ORACLES: dict[str, str] = {"op1_mixing": OP1}
 
 #: Beta-binomial moments of one level, as in reputation.host_reputation.
 _LEVEL = """
-{name}_sum AS (SELECT count(*) AS k, sum(n) AS n, sum(good) AS good, sum(n * n) AS sq, sum(good) * 1.0::DOUBLE / sum(n) AS p FROM {name}),
-{name}_spread AS (
-  SELECT s.p, (SELECT sum(n * pow(good * 1.0::DOUBLE / n - s.p, 2)) FROM {name}) AS between, s.p * (1 - s.p) * (s.n - s.sq * 1.0::DOUBLE / s.n - (s.k - 1)) AS room, s.k FROM {name}_sum s),
+{name}_sum AS (
+  SELECT count(*) AS k, sum(n) * 1.0::DOUBLE AS n, sum(good) * 1.0::DOUBLE AS good, sum(n * n) * 1.0::DOUBLE AS sq, sum(good * good * 1.0::DOUBLE / n) AS spread, sum(good) * 1.0::DOUBLE / sum(n) AS p
+  FROM {name}),
+{name}_spread AS (SELECT p, k, spread - 2 * p * good + p * p * n AS between, p * (1 - p) * (n - sq / n - (k - 1)) AS room FROM {name}_sum),
 {name}_fit AS (
   SELECT p, (1 - r) / r AS strength FROM (
     SELECT p, least(greatest(CASE WHEN room > 0 THEN (between - p * (1 - p) * (k - 1)) / room ELSE 0.001 END, 0.001), 0.9) AS r FROM {name}_spread)),
 """
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
 OP6 = (
     r"""
 WITH parsed AS (
@@ -47,10 +52,15 @@ WITH parsed AS (
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
   FROM pages),
-hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix,
-    count(*) AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) <> 1 THEN 1 ELSE 0 END) AS good
-  FROM parsed JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
+all_hosts AS (
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN (""" + _SUFFIXES + r""") AS two,
+    count(quality) AS n, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) <> 1 THEN 1 ELSE 0 END) AS good
+  FROM parsed LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+named AS (
+  SELECT host, n, good, array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -3 ELSE -2 END, -1), '.') AS domain,
+    array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -2 ELSE -1 END, -1), '.') AS suffix
+  FROM all_hosts),
+hosts AS (SELECT * FROM named WHERE n > 0),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
 """
@@ -58,7 +68,9 @@ suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY
     + """
 suffix_mean AS (SELECT suffix, (good + f.p * f.strength) / (n + f.strength) AS m FROM suffixes, suffixes_fit f),
 domain_mean AS (SELECT domain, (good + s.m * f.strength) / (n + f.strength) AS m FROM domains d JOIN suffix_mean s ON d.suffix = s.suffix, domains_fit f),
-means AS (SELECT host, (good + d.m * f.strength) / (n + f.strength) AS m, n + f.strength AS total FROM hosts h JOIN domain_mean d ON h.domain = d.domain, hosts_fit f),
+means AS (
+  SELECT host, (good + coalesce(d.m, s.m, (SELECT p FROM suffixes_fit)) * f.strength) / (n + f.strength) AS m, n + f.strength AS total
+  FROM named h LEFT JOIN domain_mean d ON h.domain = d.domain LEFT JOIN suffix_mean s ON h.suffix = s.suffix, hosts_fit f),
 bounds AS (SELECT host, m + 1.645 * sqrt(m * (1 - m) / (total + 1)) AS high FROM means),
 rules(rule_host, rule_path, says) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 fitting AS (

@@ -405,6 +405,23 @@ def test_url_reputation_of_hosts_without_labels(spark):
     assert got[500].high < got[501].high
 
 
+def test_urls_without_pages_and_with_repeats(spark):
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, None, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert reputation.judge_urls(spark.createDataFrame([], "page_id long, url string"), labels).count() == 0
+    rows = [(1, "http://a.org/"), (1, "http://a.org/"), (None, "http://b.org/"), (2, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "good", "n", "low", "domain")})
+    assert sorted((r.page_id or 0, r.host) for r in reputation.judge_urls(pages, labels).collect()) == [(0, "b.org"), (1, "a.org"), (1, "a.org"), (2, "")]
+    marked = [("a.org", 1), ("a.org", 0), ("b.org", None)]
+    counts = {r.host: (r.n, r.good) for r in reputation.host_reputation(spark.createDataFrame(marked, "host string, good int")).collect()}
+    assert counts == {"a.org": (2, 1), "b.org": (0, 0)}
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.org",), ("org",), ("",)], "h string")
+    got = [tuple(r) for r in hosts.select(reputation.registered_domain(F.col("h")), reputation.public_suffix(F.col("h"))).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.org", "org"), ("org", "org"), ("", "")]
+
+
 def test_arrow_buffers_of_slices():
     from mnemospark.llm.common import text_buffers
 
