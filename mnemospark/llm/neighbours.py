@@ -246,7 +246,8 @@ def nearest_neighbours(rows: DataFrame, k: int = NEAREST, every: int = QUERY_EVE
     spread = queries.join(widths, "width").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     right = spread.select("width", "shard", "query_id", "qhash", F.array().cast("array<long>").alias("ids"), "vec", "longest", "total")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.union(right).repartition(parts, "width", "shard").sortWithinPartitions("width", "shard", F.col("query_id").asc_nulls_first(), "qhash")
+    # by range, so that no two shards share a task while others idle
+    dealt = left.union(right).repartitionByRange(parts, "width", "shard").sortWithinPartitions("width", "shard", F.col("query_id").asc_nulls_first(), "qhash")
     found = dealt.mapInArrow(_search_shards(k, miss), FOUND)
     by_query = Window.partitionBy("query_id", "qhash").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)

@@ -175,6 +175,34 @@ def test_near_duplicates_with_blocks_added_or_cut(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(rows).collect()} == set(range(0, 120, 2))
 
 
+def test_near_duplicates_against_all_pairs(spark, sf_dir):
+    """The stage keeps the smallest id of each group that pairs of Jaccard 0.8 or more connect, found by trying all pairs."""
+    from pathlib import Path
+
+    docs = spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/documents.parquet")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, ids = [], []
+    for r in docs.orderBy("doc_id").collect():
+        w = WORD.findall((r.text or "").translate(lower))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+        ids.append(r.doc_id)
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (len(x & y) >= 0.8 * len(x | y)):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = {ids[k] for k in range(len(ids)) if find(k) == k}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == want and len(want) < len(ids)
+
+
 def test_near_duplicates_are_verified_and_other_partners_tried(spark):
     rng, rows, stay = random.Random(6), [], set()
     for k in range(40):
