@@ -310,21 +310,26 @@ class CoTrained:
         return out
 
 
-PART = "n binary, text_w binary, page_w binary, rows binary, counts binary"
+#: What a part of the table sends, by kind: pseudo-labels, text weights, page weights, rows and counts of the text view's.
+N, TEXT_W, PAGE_W, N_ROWS, COUNTS = range(5)
+PART = "kind int, index int, a double, b double"
 
 
 def _fit_parts(shared):
-    """Rows of unlabelled documents' features to one row for each part of the table: what it asks the weights to be."""
+    """Rows of unlabelled documents' features to sums that each part of the table adds to (weights times pseudo-labels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         full = (batch for batch in batches if batch.num_rows)
         first = next(full, None)
-        if first is not None:
-            text_w, page_w, n, counts, rows = model.fit_part(map(_views_of, itertools.chain([first], full)))
-            held = np.flatnonzero(counts.any(axis=0))
-            packed = np.column_stack([held, counts[:, held].T])
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (n, text_w, page_w, rows, packed)], names=["n", "text_w", "page_w", "rows", "counts"])
+        if first is None:
+            return
+        text_w, page_w, n, counts, rows = model.fit_part(map(_views_of, itertools.chain([first], full)))
+        held = np.flatnonzero(counts.any(axis=0))
+        sent = [(N, [0], n[:1], n[1:]), (TEXT_W, range(len(text_w)), n[0] * text_w, None), (PAGE_W, range(len(page_w)), n[1] * page_w, None), (N_ROWS, [0], rows[:1], rows[1:]), (COUNTS, held, *counts[:, held])]
+        for kind, index, a, b in sent:
+            size = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.asarray(index, np.int32)), pa.array(np.asarray(a, float)), pa.array(np.zeros(size) if b is None else np.asarray(b, float))], names=["kind", "index", "a", "b"])
 
     return run
 
@@ -332,27 +337,29 @@ def _fit_parts(shared):
 def co_train(model: CoTrained, unlabelled: DataFrame, rounds: int) -> None:
     """Rounds over all unlabelled documents; each part's weights count by how many pseudo-labels it had.
 
-    What a part sends is bounded by the number of features, and is added up as it comes.
+    The sums that reach the driver have at most one row for each feature.
     """
     spark = unlabelled.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        weights, total = [np.zeros(len(model.text_w)), np.zeros(len(model.page_w))], np.zeros(2)
-        counts, rows = np.zeros_like(model.counts), np.zeros(2)
-        for part in unlabelled.mapInArrow(_fit_parts(shared), PART).toLocalIterator():
-            n, *both, own = (np.frombuffer(x, np.float64) for x in (part.n, part.text_w, part.page_w, part.rows))
-            for k in (0, 1):
-                weights[k] += n[k] * both[k]
-            total, rows = total + n, rows + own
-            packed = np.frombuffer(part.counts, np.float64).reshape(-1, 3)
-            counts[:, packed[:, 0].astype(np.int64)] += packed[:, 1:].T
+        parts = unlabelled.mapInArrow(_fit_parts(shared), PART)
+        sums = parts.groupBy("kind", "index").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
         shared.destroy()
+        kind, index, a, b = (sums.column(c).to_numpy() for c in ("kind", "index", "a", "b"))
+
+        def held(which: int, size: int, values: np.ndarray) -> np.ndarray:
+            out = np.zeros(size)
+            out[index[kind == which]] = values[kind == which]
+            return out
+
+        total = [held(N, 1, a)[0], held(N, 1, b)[0]]
         if total[0]:
-            model.text_w = weights[0] / total[0]
-            model.choose(counts, rows)
+            model.text_w = held(TEXT_W, len(model.text_w), a) / total[0]
+            size = model.counts.shape[1]
+            model.choose(np.stack([held(COUNTS, size, a), held(COUNTS, size, b)]), np.array([held(N_ROWS, 1, a)[0], held(N_ROWS, 1, b)[0]]))
         if total[1]:
-            model.page_w = weights[1] / total[1]
-        if not total.any():
+            model.page_w = held(PAGE_W, len(model.page_w), a) / total[1]
+        if not any(total):
             break
     model.finish()
 
