@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
 from .common import as_long, chunks, joined_words, materialize, mix, sequence_hashes, span_hashes, word_spans
 from .components import components
@@ -219,8 +220,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
 #: one of the bands with probability 1 - (1 - j^BAND)^BANDS: all but 3 in 100,000 at 0.8.
 CONFIRM_SHINGLE = 5
 BAND, BANDS = 4, 20
+MINIMA = 128
 SIMILARITY = 0.8
-_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BAND * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Deviations of the agreement among MINIMA from its mean at the similarity: above SURE a pair is a link by itself, above
+#: LIKELY if there are too many to verify, below MAYBE it is none.
+SURE, LIKELY, MAYBE = 2.8, 1.1, -3.0
+#: Best pairs of a group of surely linked texts that are verified.
+TRIES = 3
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = CONFIRM_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -249,72 +256,70 @@ def set_prints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     n = np.diff(first)
     full = np.flatnonzero(n)
     whole = np.zeros(len(n), np.uint64)
-    least = np.zeros((len(n), BAND * BANDS), np.uint64)
+    least = np.zeros((len(n), MINIMA), np.uint64)
     if len(full):
         whole[full] = mix(np.add.reduceat(mix(values), first[:-1][full]) + n[full].astype(np.uint64))
         for k, factor in enumerate(_FACTORS):
             least[full, k] = mix(np.minimum.reduceat(values * factor, first[:-1][full]))
     keys = np.zeros((len(n), BANDS), np.uint64)
     for k in range(BAND):
-        keys = mix(keys + least[:, k::BAND])
+        keys = mix(keys + least[:, k : BAND * BANDS : BAND])
     return whole, keys, np.ascontiguousarray(least.astype(np.uint8)).view(np.uint64)
 
 
-def forest_links(node: np.ndarray, n: np.ndarray, root: np.ndarray, low: np.ndarray, agree: int, similarity: float, tried: dict[int, set[int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the rows of one bucket: set sizes that allow ``similarity`` and at least
-    ``agree`` equal bytes of ``low``. Rows of one root are joined already; pairs in ``tried`` are left out."""
-    rest, out = np.arange(len(node)), []
+def agreement(similarity: float, deviations: float) -> int:
+    """Agreeing minima of a pair at ``similarity``, so many deviations off the mean."""
+    return int(np.ceil(MINIMA * similarity + deviations * np.sqrt(MINIMA * similarity * (1 - similarity))))
+
+
+def bucket_pairs(n: np.ndarray, low: np.ndarray, similarity: float, sure: int, maybe: int) -> np.ndarray:
+    """Rows (x, y, agreement) of one bucket: a spanning forest of the pairs that agree on ``sure`` bytes of ``low`` or more,
+    and of the others with set sizes that allow ``similarity`` each y's best x before it with ``maybe`` or more."""
+    rest, out = np.arange(len(n)), []
+    best, mate = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    root = np.arange(len(n))
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            joined = root[rest] == root[x]
-            near = ~joined & (np.minimum(n[rest], n[x]) >= similarity * np.maximum(n[rest], n[x]))
-            near[near] = (low[rest[near]] == low[x]).sum(axis=1) >= agree
-            if near.any() and (done := tried.get(int(node[x]))):
-                near[near] = ~np.isin(node[rest[near]], list(done))
-            out.extend((int(node[x]), y) for y in node[rest[near]].tolist())
-            queue.extend(rest[near | joined].tolist())
-            rest = rest[~(near | joined)]
-    return out
+            fit = rest[np.minimum(n[rest], n[x]) >= similarity * np.maximum(n[rest], n[x])]
+            agree = (low[fit] == low[x]).sum(axis=1)
+            near = fit[agree >= sure]
+            better = (agree < sure) & (agree >= maybe) & (agree > best[fit])
+            best[fit[better]], mate[fit[better]] = agree[better], x
+            if len(near):
+                root[near] = root[x]
+                out.extend((x, y, sure) for y in near.tolist())
+                queue.extend(near.tolist())
+                rest = rest[~np.isin(rest, near, assume_unique=True)]
+    other = np.flatnonzero((best > 0) & (root != root[mate]))
+    out.extend(zip(mate[other].tolist(), other.tolist(), best[other].tolist()))
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
-LOW = [f"s{k}" for k in range(BAND * BANDS // 8)]
+LOW = [f"s{k}" for k in range(MINIMA // 8)]
 
 
-def _forest_scan(agree: int, similarity: float, forests: int):
-    """A scan of rows (bucket, key, node, other, n, root, lows...) that come sorted by bucket and key: up to ``forests``
-    disjoint forests of links of each bucket. Rows with an ``other`` are pairs tried before."""
+def _pair_scan(similarity: float, sure: int, maybe: int):
+    """A scan of rows (bucket, key, node, n, lows...) that come sorted by bucket and key: the pairs (a, b, agree) of each
+    bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        at, out = None, []
+        out: list[np.ndarray] = []
+        at = None
 
         def close() -> None:
             rows = np.concatenate(held)
             held.clear()
-            tried: dict[int, set[int]] = {}
-
-            def note(pairs: list[tuple[int, int]]) -> None:
-                for a, b in pairs:
-                    tried.setdefault(a, set()).add(b)
-                    tried.setdefault(b, set()).add(a)
-
-            pair = rows[:, 3] >= 0
-            note(list(map(tuple, rows[pair][:, 2:4].tolist())))
-            rows = rows[~pair]
-            low = np.ascontiguousarray(rows[:, 6:]).view(np.uint8)
-            for _ in range(forests if len(rows) > 1 else 0):
-                links = forest_links(rows[:, 2], rows[:, 4], rows[:, 5], low, agree, similarity, tried)
-                if not links:
-                    break
-                note(links)
-                out.extend((*at, a, b) for a, b in links)
+            if len(rows) > 1:
+                found = bucket_pairs(rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint8), similarity, sure, maybe)
+                out.append(np.column_stack([rows[found[:, 0], 2], rows[found[:, 1], 2], found[:, 2]]))
 
         def flush() -> pa.RecordBatch:
-            both = np.array(out, np.int64).reshape(-1, 4)
+            both = np.concatenate(out)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(4)], names=["bucket", "key", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(3)], names=["a", "b", "agree"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -331,7 +336,7 @@ def _forest_scan(agree: int, similarity: float, forests: int):
                         close()
                     at = here
                 held.append(rows[s:e].copy())
-                if len(out) > 1 << 16:
+                if sum(map(len, out)) > 1 << 16:
                     yield flush()
         if held:
             close()
@@ -341,25 +346,18 @@ def _forest_scan(agree: int, similarity: float, forests: int):
     return run
 
 
-def forest_proposals(nodes: DataFrame, agree: int, similarity: float, forests: int = 1, tried: DataFrame | None = None) -> DataFrame:
-    """Links ``(bucket, key, a, b)`` proposed among ``nodes (node, n, root, keys, lows...)`` by each band's buckets;
-    with ``tried (bucket, key, a, b)`` only in the buckets that it names, and other pairs."""
+def near_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b, agree)`` among ``nodes (node, n, keys, lows...)`` from each band's buckets, at most one and a forest's
+    link for each node and bucket."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = nodes.filter("n > 0").select("*", F.posexplode("keys").alias("_t", "key"))
-    rows = spread.select(F.col("_t").cast("long").alias("bucket"), "key", "node", F.lit(-1).cast("long").alias("other"), "n", "root", *LOW)
-    if tried is not None:
-        none = F.lit(0).cast("long")
-        pairs = tried.select("bucket", "key", F.col("a").alias("node"), F.col("b").alias("other"), none.alias("n"), none.alias("root"), *[none.alias(c) for c in LOW])
-        rows = rows.join(tried.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select(*pairs.columns).union(pairs)
+    rows = spread.select(F.col("_t").cast("long").alias("bucket"), "key", "node", "n", *LOW)
     dealt = rows.repartition(parts, "bucket", "key").sortWithinPartitions("bucket", "key", "node")
-    return dealt.mapInArrow(_forest_scan(agree, similarity, forests), "bucket long, key long, a long, b long")
+    return dealt.mapInArrow(_pair_scan(similarity, agreement(similarity, SURE), agreement(similarity, MAYBE)), "a long, b long, agree long")
 
 
-#: The verification: links of one text that a task checks with one copy of it, and by how much more forests a round tries.
+#: The verification: links of one text that a task checks with one copy of it.
 LINKS = 256
-MORE = 8
-#: Standard deviations that the estimate of the agreeing minima may lie below the limit.
-SLACK = 4.5
 
 
 def _verify_scan(similarity: float):
@@ -396,38 +394,36 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def near_set_links(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified links ``(a, b)`` that join the nodes which pairs of ``similarity`` or more connect.
+    """Links ``(a, b)`` that join the nodes which pairs of ``similarity`` or more connect.
 
-    Buckets propose spanning forests by a loose bound on the agreeing minima. Where a link of a bucket fails, the bucket
-    proposes other pairs between what is not yet joined, more each round, until none of its links fails.
+    Pairs that agree on SURE minima are links. Where what these join has pairs with others that may reach ``similarity``,
+    the best TRIES of each such group are verified on the texts, so the texts compared grow with the groups and not with
+    the pairs in them; of further pairs, which only larger families of borderline variants have, the estimate decides.
     """
-    hashes = BAND * BANDS
-    agree = int(hashes * similarity - SLACK * np.sqrt(hashes * similarity * (1 - similarity)))
-    rooted, tried, links, forests = nodes.withColumn("root", F.col("node")), None, None, 1
-    while True:
-        found = materialize(forest_proposals(rooted, agree, similarity, forests, tried), "near-proposals")
-        pairs = found.groupBy(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", (F.col("_lo") + F.col("_hi") - F.col("a")).alias("b"))
-        judged = materialize(verified(pairs, texts, similarity), "near-verified")
-        good = judged.filter("near").select("a", "b")
-        links = good if links is None else links.union(good)
-        bad = judged.filter("not near").select(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"))
-        failed = found.join(bad, (F.least("a", "b") == F.col("_lo")) & (F.greatest("a", "b") == F.col("_hi"))).select("bucket", "key", "a", "b")
-        failed = materialize(failed, "near-failed")
-        if failed.isEmpty():
-            return links
-        active = failed.select("bucket", "key").distinct()
-        tried = failed if tried is None else failed.union(tried.join(active, ["bucket", "key"], "left_semi").select("bucket", "key", "a", "b"))
-        rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        forests *= MORE
+    found = materialize(near_pairs(nodes, similarity), "near-pairs")
+    at_least, likely_from = agreement(similarity, SURE), agreement(similarity, LIKELY)
+    sure = found.filter(F.col("agree") >= at_least).select("a", "b")
+    roots = materialize(components(sure), "near-roots")
+    maybe = found.filter(F.col("agree") < at_least)
+    for c in ("a", "b"):
+        maybe = maybe.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    lo, hi = F.least("ra", "rb"), F.greatest("ra", "rb")
+    pairs = maybe.filter(F.col("ra") != F.col("rb")).groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max(F.struct("agree", "a", "b")).alias("p"))
+    pairs = materialize(pairs.select("lo", "hi", "p.*"), "near-maybe")
+    sides = pairs.select(F.col("lo").alias("root"), "agree", "a", "b").union(pairs.select("hi", "agree", "a", "b"))
+    best = sides.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy(F.col("agree").desc(), "a", "b"))).filter(F.col("_n") <= TRIES)
+    tried = materialize(best.select("a", "b").distinct(), "near-tried")
+    judged = verified(tried, texts, similarity).filter("near").select("a", "b")
+    likely = pairs.filter(F.col("agree") >= likely_from).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return materialize(sure.union(judged).union(likely), "near-links")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest doc_id stays.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more; groups
-    are what links connect. Bands of minima propose the pairs (all but some 4 in 100,000 of those at 0.8), and every link
-    is verified. Copies (also of an id) leave one row; a null doc_id stays only if its group has no other; null texts and
+    are what links connect. Bands of minima propose the pairs (all but some 3 in 100,000 of those at 0.8); pairs near the
+    limit are verified on the texts. Copies (also of an id) leave one row; a null doc_id stays only if its group has no other; null texts and
     wordless ones are copies of each other.
     """
 
