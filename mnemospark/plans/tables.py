@@ -86,6 +86,19 @@ def sql_values(name: str, rows: list[tuple], columns: str) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
 
 
+def all_texts(spark: SparkSession, sf_dir: str, fixtures: list[tuple]) -> DataFrame:
+    """``(id, text)``: every message, every whole document, and the rows of our own that hold what those tables lack."""
+    m = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("m"), "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("d"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return m.union(d).union(values(spark, [(f"f:{k}", t) for k, t in fixtures], "id string, text string"))
+
+
+def sql_all_texts(fixtures: list[tuple]) -> str:
+    """The same as a common table expression named s."""
+    own = sql_values("own", [(f"f:{k}", t) for k, t in fixtures], "id, text")
+    return f"{own}, s(id, text) AS (SELECT 'm:' || conv_id || ':' || turn, coalesce(text, '') FROM conversations UNION ALL SELECT 'd:' || doc_id, coalesce(text, '') FROM documents UNION ALL SELECT id, text FROM own)"
+
+
 #: Sentences of our own for every screen and signal.
 SENTENCES = list(enumerate([
     "部署必须走灰度通道，周五不发布", "你：这个接口怎么调用", "Assistant: here is the plan", "我的密钥是 sk-abcdefghijklmnopqrstuvwxyz123456 别外传", "请按下面步骤操作并回报",

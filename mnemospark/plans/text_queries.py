@@ -35,39 +35,40 @@ _QUESTION = f"({has(norm('text'), P.INTERROGATIVES)} OR ({has('text', P.QUESTION
 SCREEN = f"""CASE WHEN {has("text", P.TRANSCRIPTS)} THEN 'transcript' WHEN {has("text", P.SECRETS)} THEN 'secret'
   WHEN NOT {has("text", P.REMEMBER_REQUESTS)} AND {has("text", P.TASK_INSTRUCTIONS)} THEN 'task-instruction' WHEN {has("text", P.PAYLOADS)} THEN 'payload'
   WHEN {has("text", P.FRAGMENTS)} THEN 'fragment' WHEN {has("text", P.NOISE)} THEN 'noise' WHEN {_ASSERTS} THEN NULL WHEN {_QUESTION} THEN 'question' END"""
-_S = "WITH " + B.sql_values("s", B.SENTENCES, "id, text")
-_L = "WITH " + B.sql_values("s", B.LITERALS, "id, text")
+_S = "WITH " + B.sql_all_texts(B.SENTENCES)
+_L = "WITH " + B.sql_all_texts(B.LITERALS)
+_PAIRS = "WITH " + B.sql_values("s", B.LITERALS, "id, text")
 SIGNAL_TYPE = "CASE " + " ".join(f"WHEN {has('text', f)} THEN '{n}'" for n, _, f in P.TYPE_SIGNALS) + " END"
 SIGNAL_WEIGHT = "CASE " + " ".join(f"WHEN {has('text', f)} THEN {w}::DOUBLE" for _, w, f in P.TYPE_SIGNALS) + " ELSE 0.0::DOUBLE END"
 EMPHASIS = " + ".join(f"CASE WHEN {has('text', g)} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for w, g in P.EMPHASIS)
 
 
-def _sentences(spark):
-    return B.values(spark, B.SENTENCES, "id long, text string")
+def _sentences(spark, sf_dir):
+    return B.all_texts(spark, sf_dir, B.SENTENCES)
 
 
-def _literals(spark):
-    return B.values(spark, B.LITERALS, "id long, text string")
+def _literals(spark, sf_dir):
+    return B.all_texts(spark, sf_dir, B.LITERALS)
 
 
 @query(f"{_S} SELECT id, {SCREEN} AS reason, coalesce({SCREEN} IN ('secret', 'task-instruction', 'payload', 'fragment', 'transcript'), false) AS noteworthy FROM s")
 def f1_screen(spark, sf_dir):
-    return _sentences(spark).select("id", T.screen("text").alias("reason")).withColumn("noteworthy", T.is_noteworthy("reason"))
+    return _sentences(spark, sf_dir).select("id", T.screen("text").alias("reason")).withColumn("noteworthy", T.is_noteworthy("reason"))
 
 
 @query(f"{_S} SELECT id, {has('text', P.NOISE)} AS noise, {norm('text')} <> '' AND {has(norm('text'), P.INTERROGATIVES)} AS asks, {_ASSERTS} AS decides FROM s")
 def f3_f4_f5_flags(spark, sf_dir):
-    return _sentences(spark).select("id", T.is_noise("text").alias("noise"), T.looks_interrogative("text").alias("asks"), T.asserts_decision("text").alias("decides"))
+    return _sentences(spark, sf_dir).select("id", T.is_noise("text").alias("noise"), T.looks_interrogative("text").alias("asks"), T.asserts_decision("text").alias("decides"))
 
 
 @query(f"{_S} SELECT id, {SIGNAL_TYPE} AS type, {SIGNAL_WEIGHT} AS weight, coalesce(CASE {' '.join('WHEN ' + has('text', f) + ' THEN ' + ' + '.join(f'CAST({has("text", p)} AS INTEGER)' for p in f) for _, _, f in P.TYPE_SIGNALS)} END, 0) AS n_hits FROM s")
 def t13_type_signals(spark, sf_dir):
-    return _sentences(spark).withColumn("m", T.type_signal("text")).select("id", "m.type", "m.weight", F.size("m.hits").alias("n_hits"))
+    return _sentences(spark, sf_dir).withColumn("m", T.type_signal("text")).select("id", "m.type", "m.weight", F.size("m.hits").alias("n_hits"))
 
 
 @query(f"{_S} SELECT id, {EMPHASIS} AS emphasis, least(1.0::DOUBLE, 0.35 + ({SIGNAL_WEIGHT}) * 0.35 + ({EMPHASIS}) + least(0.15::DOUBLE, length(text) / 800.0::DOUBLE)) AS score FROM s")
 def t14_m1_scores(spark, sf_dir):
-    return _sentences(spark).select("id", T.emphasis_weight("text").alias("emphasis"), T.candidate_score("text").alias("score"))
+    return _sentences(spark, sf_dir).select("id", T.emphasis_weight("text").alias("emphasis"), T.candidate_score("text").alias("score"))
 
 
 _SIG = "coalesce(text, '')"
@@ -77,7 +78,7 @@ for _p, _by in P.SIGNATURE_FOLDS:
 
 @query(f"{_L} SELECT id, lower({sub(sub(_SIG, r'\s+', ' '), r'^\s+|\s+$', '')}) AS signature FROM s")
 def t11_signature(spark, sf_dir):
-    return _literals(spark).select("id", T.signature("text").alias("signature"))
+    return _literals(spark, sf_dir).select("id", T.signature("text").alias("signature"))
 
 
 _STRIP = sub(sub("text", r"^\s*\\+(?:end|begin)\{[^}]*\}\s*", ""), r"^\s*\\+(?:item|hline)\b[\s\d.]*", "")
@@ -89,22 +90,22 @@ _SHORTER = sub(sub("v", r"\s*\d{1,2}[.、)）]\s*$", ""), r"^\s+|\s+$", "")
 
 @query(f"{_L}, c AS (SELECT id, {_STRIP} AS v FROM s) SELECT id, CASE WHEN length({_SHORTER}) >= 12 THEN {_SHORTER} ELSE v END AS cleaned FROM c")
 def t10_strip_pasted(spark, sf_dir):
-    return _literals(spark).select("id", T.strip_pasted("text").alias("cleaned"))
+    return _literals(spark, sf_dir).select("id", T.strip_pasted("text").alias("cleaned"))
 
 
 @query(f"{_L} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.re2(P.NAME_LIKE))}))), ' ') AS names, 16.0::DOUBLE * len(list_filter(list_distinct(regexp_extract_all(text, {_q(P.re2(P.NAME_LIKE))})), lambda n: contains('uses memory.json and broke', n))) AS bonus FROM s")
 def t15_t16_names(spark, sf_dir):
     names = T.names_in("text")
-    return _literals(spark).select("id", F.array_join(F.sort_array(names), " ").alias("names"), T.name_bonus(names, F.lit("uses memory.json and broke")).alias("bonus"))
+    return _literals(spark, sf_dir).select("id", F.array_join(F.sort_array(names), " ").alias("names"), T.name_bonus(names, F.lit("uses memory.json and broke")).alias("bonus"))
 
 
-_F = "WITH " + B.sql_values("s", B.FAILURES, "id, text")
+_F = "WITH " + B.sql_all_texts(B.FAILURES)
 _DETAIL = sub(sub("text", r"^[^:：]*[:：]\s*", ""), r"^\s+|\s+$", "")
 
 
 @query(f"{_F}, d AS (SELECT id, {_DETAIL} AS v FROM s) SELECT id, v <> '' AND NOT {has('v', P.BARE_ERRORS)} AND NOT {has('v', P.BARE_CODE)} AS kept FROM d")
 def f10_failure_kept(spark, sf_dir):
-    return B.values(spark, B.FAILURES, "id long, text string").select("id", T.failure_kept("text").alias("kept"))
+    return B.all_texts(spark, sf_dir, B.FAILURES).select("id", T.failure_kept("text").alias("kept"))
 
 
 _HEAD = "left(v, {m} - 1)"
@@ -119,11 +120,11 @@ _TAIL = r"[\x{09}-\x{0D}\x{20}\x{A0}\x{3000}]+\z"
 
 
 @query(
-    f"WITH {B.sql_values('s', B.LONG_TEXTS, 'id, text')}, n AS (SELECT id, {norm('text')} AS v FROM s), h AS (SELECT id, v, left(v, 39) AS h FROM n), c AS (SELECT *, {_CUTS} FROM h) "
+    f"WITH {B.sql_all_texts(B.LONG_TEXTS)}, n AS (SELECT id, {norm('text')} AS v FROM s), h AS (SELECT id, v, left(v, 39) AS h FROM n), c AS (SELECT *, {_CUTS} FROM h) "
     f"SELECT id, CASE WHEN length(v) <= 40 THEN v ELSE regexp_replace(left(h, CAST(CASE WHEN c0 - 1 >= 20 THEN c0 WHEN c1 - 1 >= 20 THEN c1 WHEN c2 - 1 >= 20 THEN c2 ELSE length(h) END AS BIGINT)), '{_TAIL}', '') || '…' END AS clipped FROM c"
 )
 def t4_clip_at_clause(spark, sf_dir):
-    return B.values(spark, B.LONG_TEXTS, "id long, text string").select("id", T.clip_at_clause("text", 40).alias("clipped"))
+    return B.all_texts(spark, sf_dir, B.LONG_TEXTS).select("id", T.clip_at_clause("text", 40).alias("clipped"))
 
 
 _N = norm("text")
@@ -155,9 +156,9 @@ def t12_echo_form(spark, sf_dir):
     return B.messages(spark, sf_dir).select("session_id", "seq", T.echo_form("text").alias("echo"))
 
 
-@query(f"{_L} SELECT a.id, b.id AS other, list_first(list_filter(regexp_extract_all(a.text, {_q(P.re2(P.NAME_LIKE))}), lambda n: NOT contains(lower(b.text), lower(n)))) AS drift FROM s a JOIN s b ON b.id = (a.id + 1) % {len(B.LITERALS)}")
+@query(f"{_PAIRS} SELECT a.id, b.id AS other, list_first(list_filter(regexp_extract_all(a.text, {_q(P.re2(P.NAME_LIKE))}), lambda n: NOT contains(lower(b.text), lower(n)))) AS drift FROM s a JOIN s b ON b.id = (a.id + 1) % {len(B.LITERALS)}")
 def f17_summary_drift(spark, sf_dir):
-    a = _literals(spark)
+    a = B.values(spark, B.LITERALS, "id long, text string")
     b = a.select(F.col("id").alias("other"), F.col("text").alias("source"))
     return a.join(b, F.col("other") == (F.col("id") + 1) % len(B.LITERALS)).select("id", "other", T.summary_drift("text", "source").alias("drift"))
 
