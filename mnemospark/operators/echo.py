@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,28 +57,15 @@ def find_span_echoes(spans: DataFrame, messages: DataFrame, min_tokens: int = 15
     return near.withColumn("coverage", share).filter(F.col("coverage") >= min_coverage).groupBy("cid").agg(F.max(F.struct("said_seq", "coverage")).alias("m")).select("cid", "m.*")
 
 
-def contained(parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(pid, tid)``: normalised parts ``(pid, text)`` that stand in normalised texts ``(tid, text)`` or hold them
-    (J17).
-
-    Parts and texts meet over a rare common token: a part's rarest among the texts, so few texts are tried for each.
-    """
-    p = parts.select("pid", T.normalize("text").alias("part"))
-    t = texts.select("tid", T.normalize("text").alias("whole"))
-    words = t.select("tid", F.explode(token_set(F.col("whole"))).alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    rare = p.select("pid", F.explode(token_set(F.col("part"))).alias("token")).join(df, "token").groupBy("pid").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    return rare.join(words, "token").join(p, "pid").join(t, "tid").filter(F.contains("whole", "part") | F.contains("part", "whole")).select("pid", "tid").distinct()
-
-
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring."""
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else 0
-            best = max(best, row[j])
+    """Length of the longest common substring (T19), one array step for each character of the shorter text."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    row, best = np.zeros(len(y) + 1, np.int32), 0
+    for c in x:
+        row[1:] = np.where(y == c, row[:-1] + 1, 0)
+        best = max(best, int(row.max(initial=0)))
     return best
 
 

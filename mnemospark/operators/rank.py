@@ -119,6 +119,20 @@ def vector_rank(vectors: DataFrame, queries: DataFrame, limit: int | None = None
     return hits.filter(F.col("rank") <= limit) if limit else hits
 
 
+def vector_search(memories: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Memories ``(id, embedding, importance)`` by cosine, only positive ones, the more important first on ties."""
+    hits = vector_rank(memories, queries).drop("rank").join(memories.select("id", "importance"), "id")
+    return ranked(hits, F.col("importance").desc()).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
+
+
+def conflict_partners_by_vector(incoming: DataFrame, memories: DataFrame, limit: int = 20) -> DataFrame:
+    """``limit`` memories ``(id, embedding, updated_at)`` for each incoming ``(qid, embedding)`` by cosine, whatever its
+    sign, the newest first on ties (O5)."""
+    pairs = incoming.select("qid", F.col("embedding").alias("q")).crossJoin(memories.select("id", "embedding", "updated_at"))
+    scores = pairs.select("qid", "id", "updated_at", maths.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    return ranked(scores, F.col("updated_at").desc()).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
+
+
 def hybrid(first: DataFrame, second: DataFrame) -> DataFrame:
     """Sum of two rankers' scores, each divided by its best for the query."""
 
@@ -171,10 +185,15 @@ def search_with_feedback(memories: DataFrame, queries: DataFrame, cwd: str | Non
     return search(memories, longer, cwd, limit)
 
 
-#: Rankers by name, and what they need (E1, E8): callables of memories and queries.
+#: Rankers by name (E1, E8): callables of memories and queries.
 RANKERS: dict[str, Callable[..., DataFrame]] = {"search": search, "substring": substring_rank, "vector": vector_rank}
 
 
+def rank_with(name: str, memories: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """The named ranker's ranking."""
+    return RANKERS[name](memories, queries, **options)
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float = 0.2) -> DataFrame:
     """``(lid, rid, shared, score)``: token overlap |A and B| / min(|A|, |B|) of at least ``least``.
 

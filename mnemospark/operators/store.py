@@ -110,6 +110,26 @@ def resolve_writes(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("action", action)
 
 
+def apply_writes(memories: DataFrame, resolved: DataFrame, now_ms: int) -> DataFrame:
+    """The store after a turn's resolved candidates (D-5): ``pos, text, type, cwd, importance, partner_id, action``.
+
+    A duplicate changes nothing. All others are put under their text's hash, held for review or active; a text that only
+    differs in case or space from what that id holds thereby updates it in place, keeping its creation time and counters. A
+    replacement also supersedes its partner. Of candidates with one id the last counts. Partners are those of the store
+    before the turn, so the candidates need no order among themselves.
+    """
+    kept = resolved.filter("action != 'skip-duplicate'").withColumn("id", T.hash_text("text"))
+    last = kept.groupBy("id").agg(F.max_by(F.struct(*[c for c in kept.columns if c != "id"]), "pos").alias("row")).select("id", "row.*")
+    replaces = (F.col("action") == "replace") & (F.col("partner_id") != F.col("id"))
+    given = {
+        "id": F.col("id"), "type": F.col("type"), "text": F.col("text"), "cwd": F.col("cwd"), "importance": F.col("importance"),
+        "status": F.when(F.col("action") == "review", "needs-review").otherwise("active"), "supersedes": F.when(replaces, F.col("partner_id")),
+        "created_at": F.lit(now_ms), "updated_at": F.lit(now_ms), "recalls": F.lit(0),
+    }
+    rows = last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in memories.schema])
+    return supersede(upsert(memories, rows), kept.filter(replaces).select(F.col("partner_id").alias("id"), F.col("id").alias("by")), now_ms)
+
+
 def answer_conflicts(memories: DataFrame, answers: DataFrame, now_ms: int) -> DataFrame:
     """Apply answers ``(new_id, old_id, choice)`` (D-6): keep-old drops the new one, replace supersedes the old one and
     activates the new one, keep-both activates the new one."""

@@ -214,12 +214,6 @@ def j8_w4_span_echoes(spark, sf_dir):
     return E.find_span_echoes(*_cands(spark, sf_dir), 5, 0.2, 2)
 
 
-@query(f"SELECT item_id AS pid, doc_id AS tid FROM benchmark b JOIN documents d ON (contains({norm('d.text')}, {norm('b.text')}) OR contains({norm('b.text')}, {norm('d.text')})) AND len(list_intersect({_TK.format(c='b.text')}, {_TK.format(c='d.text')})) > 0")
-def j17_contained(spark, sf_dir):
-    items = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), "text")
-    return E.contained(items, B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text"))
-
-
 @query()
 def j16_t19_overlap_join(spark, sf_dir):
     items, m = _cands(spark, sf_dir)

@@ -93,6 +93,9 @@ def frame(row: DataFrame, path: str) -> None:
 
 
 def vector_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached vectors ``(key, embedding)``, the last of each key, without empty or non-numeric ones."""
-    rows = spark.read.parquet(path).filter((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))).filter("_n = 1").drop("_n")
+    """Cached vectors ``(key, embedding)``, of each key the one written last (by file time, then place in the file),
+    without empty or non-numeric ones (S15)."""
+    rows = spark.read.parquet(path).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("_at"))
+    rows = rows.filter((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    newest = Window.partitionBy("key").orderBy(F.col("_at").desc())
+    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "_at")
