@@ -56,7 +56,9 @@ def scored(memories: DataFrame, now_ms: int, cwd: str | None, config: RecallConf
     weight = min(1.0, max(0.0, config.relevance_weight)) if relevance is not None else 0.0
     prior = maths.prior(F.col("importance"), F.col("age_days"))
     if weight:
-        scaled = relevance.select(F.col("id").alias("_id"), (F.col("score") / F.max("score").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_rel"))
+        # one row, so it may be broadcast
+        best = F.broadcast(relevance.agg(F.max("score").alias("_best")))
+        scaled = relevance.crossJoin(best).select(F.col("id").alias("_id"), (F.col("score") / F.col("_best")).alias("_rel"))
         out = out.join(scaled, F.col("id") == F.col("_id"), "left")
         out = out.withColumn("score", maths.blend(F.col("_rel"), prior, weight)).drop("_id", "_rel")
     else:
@@ -118,12 +120,21 @@ def _with_slots(config: RecallConfig, picked: Column, items: Column) -> Column:
 def pick(rows: DataFrame, config: RecallConfig, group: tuple[str, ...] = ()) -> DataFrame:
     """Choose from scored rows (id, type, score, created_at, line); ``group`` columns make separate selections.
 
-    Only rows that can be chosen reach the fold: without slots, a type's candidates beyond those whose lines could
-    fill the budget never matter, but any of them may follow a line that is too long, so all eligible rows of a group
-    come together; groups are sessions or probes, whose stores are bounded.
+    Of rows of one type and cost only the first ones up to the type's quota can be chosen: where one of them finds no room
+    in its quota or in the budget, neither do those after it. So at most quota * budget rows of a group are gathered, and
+    with reserved slots as many of the newest as these and all quotas take.
     """
-    by = Window.partitionBy(*group).orderBy(F.round("score", 9).desc(), F.col("created_at").desc(), "id")
-    items = rows.withColumn("pos", F.row_number().over(by)).withColumn("cost", T.estimate_tokens("line"))
+    first = [F.round("score", 9).desc(), F.col("created_at").desc(), F.col("id")]
+    most = max(config.quota.values(), default=0)
+    costed = rows.withColumn("cost", T.estimate_tokens("line")).filter(F.col("cost") <= config.max_tokens)
+    alike = Window.partitionBy(*group, "type", "cost").orderBy(*first)
+    able = costed.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= most).drop("_n")
+    if config.recent_slots:
+        newest = Window.partitionBy(*group).orderBy(F.col("created_at").desc(), *first)
+        recent = rows.withColumn("cost", T.estimate_tokens("line")).withColumn("_n", F.row_number().over(newest))
+        recent = recent.filter(F.col("_n") <= config.recent_slots + sum(config.quota.values())).drop("_n")
+        able = able.union(recent).dropDuplicates([*group, "id"])
+    items = able.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy(*first)))
     gathered = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "type", "cost", "created_at", "id"))).alias("items"))
     chosen = gathered.withColumn("picked", _greedy(config)["picked"])
     if config.recent_slots:
