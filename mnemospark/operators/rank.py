@@ -92,13 +92,18 @@ def ranked(scores: DataFrame, *order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by))
 
 
-def search(memories: DataFrame, queries: DataFrame, cwd: str | None = None, limit: int = 20, bonus: float = NAME_BONUS) -> DataFrame:
-    """BM25 over the scoped memories plus the name bonus; nothing without a positive score."""
+def search_scores(memories: DataFrame, queries: DataFrame, cwd: str | None = None, bonus: float = NAME_BONUS) -> DataFrame:
+    """``(qid, id, score)``: BM25 over the scoped memories plus the name bonus; nothing without a positive score."""
     scoped = searchable(memories, cwd)
     named = names_held(scoped, queries).groupBy("qid", "id").agg((F.count("*") * F.lit(float(bonus))).alias("bonus"))
     scores = bm25(scoped, queries).join(named, ["qid", "id"], "full").select("qid", "id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
-    facts = scoped.select("id", "importance", "created_at")
-    hits = ranked(scores.filter("score > 0").join(facts, "id"), F.col("importance").desc(), F.col("created_at").desc())
+    return scores.filter("score > 0")
+
+
+def search(memories: DataFrame, queries: DataFrame, cwd: str | None = None, limit: int = 20, bonus: float = NAME_BONUS) -> DataFrame:
+    """The best ``limit`` of the search scores for each query, more important and newer ones first on ties."""
+    facts = searchable(memories, cwd).select("id", "importance", "created_at")
+    hits = ranked(search_scores(memories, queries, cwd, bonus).join(facts, "id"), F.col("importance").desc(), F.col("created_at").desc())
     return hits.filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
 
 

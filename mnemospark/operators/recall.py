@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import maths
 from ..functions import text as T
-from .rank import in_scope, search
+from .rank import in_scope, search_scores
 
 #: Fixed texts of the rendered block; their cost is charged to the budget.
 HEADER = "## 长期记忆（自动积累，按会话工作区召回）"
@@ -149,7 +149,7 @@ def select_memories(memories: DataFrame, query: str, now_ms: int, cwd: str | Non
     relevance = None
     if query.strip() and config.relevance_weight > 0:
         queries = memories.sparkSession.createDataFrame([(0, query)], "qid int, query string")
-        relevance = search(memories, queries, cwd, limit=1 << 30).select("id", "score")
+        relevance = search_scores(memories, queries, cwd).select("id", "score")
     rows = scored(memories, now_ms, cwd, config, relevance).withColumn("line", rendered_line(config))
     return pick(rows.select("id", "type", "text", "score", "age_days", "created_at", "line"), config)
 
