@@ -300,60 +300,175 @@ def bucket_pairs(n: np.ndarray, low: np.ndarray, similarity: float, sure: int, m
 LOW = [f"s{k}" for k in range(MINIMA // 8)]
 
 
-def _pair_scan(similarity: float, sure: int, maybe: int):
-    """A scan of rows (bucket, key, node, n, lows...) that come sorted by bucket and key: the pairs (a, b, agree) of each
-    bucket."""
+#: Rows of a bucket that one task compares. Buckets beyond this, and beyond one in BUCKETS of all rows, are large: fewer
+#: than BUCKETS are, so their keys are broadcast.
+HELD, BUCKETS = 8192, 1 << 18
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[np.ndarray]:
+    """The rows of each value of the first ``width`` columns, by which the batches come sorted; groups of fewer than
+    ``least`` rows may be left out."""
+    held: list[np.ndarray] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        new = np.flatnonzero((rows[1:, :width] != rows[:-1, :width]).any(axis=1)) + 1
+        heads, tails = np.concatenate([[0], new]), np.append(new, len(rows))
+        wanted = tails - heads >= least
+        wanted[[0, -1]] = True  # these may go on in other batches
+        for s, e in zip(heads[wanted].tolist(), tails[wanted].tolist()):
+            here = tuple(rows[s, :width].tolist())
+            if here != at and held:
+                yield np.concatenate(held)
+                held = []
+            at = here
+            held.append(rows[s:e].copy())
+    if held:
+        yield np.concatenate(held)
+
+
+def _scan(width: int, least: int, names: list[str], step):
+    """A scan of rows that come sorted by their first ``width`` columns: what ``step`` makes of each group, as ``names``."""
+
+    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(len(names))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         out: list[np.ndarray] = []
-        at = None
+        n = 0
+        for rows in sorted_groups(batches, width, least):
+            if len(rows) >= least:
+                out.append(step(rows))
+                n += len(out[-1])
+            if n > 1 << 16:
+                yield batch_of(out)
+                out, n = [], 0
+        if out:
+            yield batch_of(out)
 
-        def close() -> None:
-            rows = np.concatenate(held)
-            held.clear()
-            if len(rows) > 1:
-                found = bucket_pairs(rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint8), similarity, sure, maybe)
-                out.append(np.column_stack([rows[found[:, 0], 2], rows[found[:, 1], 2], found[:, 2]]))
+    return run
 
-        def flush() -> pa.RecordBatch:
-            both = np.concatenate(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(3)], names=["a", "b", "agree"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            heads, tails = np.concatenate([[0], new]), np.append(new, len(rows))
-            long = tails - heads > 1
-            long[[0, -1]] = True  # these may go on in other batches
-            for s, e in zip(heads[long].tolist(), tails[long].tolist()):
-                here = (int(rows[s, 0]), int(rows[s, 1]))
-                if here != at:
-                    if held:
-                        close()
-                    at = here
-                held.append(rows[s:e].copy())
-                if sum(map(len, out)) > 1 << 16:
-                    yield flush()
-        if held:
-            close()
-        if out:
-            yield flush()
+def _low(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(np.uint8)
 
-    return run
+
+def _pair_step(similarity: float, sure: int, maybe: int):
+    """Rows (bucket, key, node, n, lows...) of one bucket to its pairs (a, b, agree)."""
+
+    def step(rows: np.ndarray) -> np.ndarray:
+        found = bucket_pairs(rows[:, 3], _low(rows[:, 4:]), similarity, sure, maybe)
+        return np.column_stack([rows[found[:, 0], 2], rows[found[:, 1], 2], found[:, 2]])
+
+    return step
+
+
+def _family_step(similarity: float, sure: int, maybe: int):
+    """Rows (bucket, key, part, node, n, lows...) of one part of a large bucket to (bucket, key, a, b, agree): its pairs,
+    and for every row (node, the first of those that sure links join with it, -1)."""
+
+    def step(rows: np.ndarray) -> np.ndarray:
+        found = bucket_pairs(rows[:, 4], _low(rows[:, 5:]), similarity, sure, maybe)
+        root = np.arange(len(rows))
+        for x, y in found[found[:, 2] >= sure, :2].tolist():  # each y is reached once, from an x reached before
+            root[y] = root[x]
+        pairs = np.column_stack([rows[found[:, 0], 3], rows[found[:, 1], 3], found[:, 2]])
+        own = np.column_stack([rows[:, 3], rows[root, 3], np.full(len(rows), -1)])
+        both = np.concatenate([pairs, own])
+        return np.column_stack([np.broadcast_to(rows[0, :2], (len(both), 2)), both])
+
+    return step
+
+
+def _cell_step(similarity: float, maybe: int):
+    """Rows (bucket, key, cell, asks, node, n, family, lows...) of one cell to pairs (a, b, agree): for each row that asks,
+    the best of each other family with ``maybe`` or more."""
+
+    def step(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort((rows[:, 4], rows[:, 6]))]
+        others, asking = rows[rows[:, 3] == 0], rows[rows[:, 3] == 1]
+        low, out = _low(others[:, 7:]), [np.zeros((0, 3), np.int64)]
+        heads = np.flatnonzero(np.concatenate([[True], others[1:, 6] != others[:-1, 6]])) if len(others) else np.zeros(0, np.int64)
+        for y in asking if len(others) else []:
+            agree = (low == _low(y[7:])).sum(axis=1)
+            agree[(others[:, 6] == y[6]) | (np.minimum(others[:, 5], y[5]) < similarity * np.maximum(others[:, 5], y[5]))] = 0
+            for s, e in [(s, e) for s, e, m in zip(heads, np.append(heads[1:], len(others)), np.maximum.reduceat(agree, heads)) if m >= maybe]:
+                x = s + int(agree[s:e].argmax())
+                out.append(np.array([[others[x, 4], y[4], agree[x]]], np.int64))
+        return np.concatenate(out)
+
+    return step
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of equal ``by`` in one task and next to each other, in the order of their nodes."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, "node")
+
+
+def large_bucket_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b, agree)`` of the buckets of ``rows (bucket, key, node, n, lows...)``, none of which one task holds.
+
+    Parts of HELD rows become families joined by sure links; one row of each family goes on to the next round, until
+    families no longer meet. What then lies outside a bucket's largest family is compared with the whole bucket in
+    blocks, so that no pair of two families is lost.
+    """
+    sure, maybe = agreement(similarity, SURE), agreement(similarity, MAYBE)
+    bucket, pairs, maps = ["bucket", "key"], [], []
+    schema = "bucket long, key long, a long, b long, agree long"
+    now = rows = materialize(rows, "near-large")
+    n = rows.count()
+    while True:
+        sizes = now.groupBy(*bucket).agg(F.ceil(F.count("*") / HELD).alias("_parts"))
+        split = now.join(F.broadcast(sizes), bucket).select(*bucket, F.pmod(F.xxhash64("node"), "_parts").alias("part"), "node", "n", *LOW)
+        step = _scan(3, 1, [*bucket, "a", "b", "agree"], _family_step(similarity, sure, maybe))
+        found = materialize(_dealt(split, *bucket, "part").mapInArrow(step, schema), "near-families")
+        pairs.append(found.filter("agree >= 0").select("a", "b", "agree"))
+        maps.append(found.filter("agree < 0").select(*bucket, F.col("a").alias("node"), F.col("b").alias("family")))
+        now = materialize(now.join(maps[-1].filter("node = family").select(*bucket, "node"), [*bucket, "node"], "left_semi"), "near-heads")
+        was, n = n, now.count()
+        if n > was / 2 or sizes.filter("_parts > 1").isEmpty():
+            break
+    family = maps.pop()
+    while maps:  # from the last round back, so that no row has more followers than a part holds
+        upper = family.select(*bucket, F.col("node").alias("family"), F.col("family").alias("_top"))
+        family = maps.pop().join(upper, [*bucket, "family"]).select(*bucket, "node", F.col("_top").alias("family"))
+    family = materialize(family, "near-family")
+    per = family.groupBy(*bucket, "family").agg(F.count("*").alias("c"))
+    per = per.groupBy(*bucket).agg(F.sum("c").alias("_all"), F.max(F.struct("c", "family")).alias("_m"))
+    per = per.filter(F.col("_all") > F.col("_m.c")).select(*bucket, F.ceil(F.col("_all") / HELD).alias("_parts"), F.ceil((F.col("_all") - F.col("_m.c")) / HELD).alias("_blocks"), F.col("_m.family").alias("_largest"))
+    open_ = family.join(F.broadcast(per), bucket)
+    rest = rows.join(open_, [*bucket, "node"])
+
+    def cells(asks: int, own: str, others: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("node", F.lit(asks)), own)
+        cell = mine * F.col("_blocks") + F.col("_o") if own == "_parts" else F.col("_o") * F.col("_blocks") + mine
+        spread = rest.filter("family != _largest") if asks else rest
+        return spread.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))).select(*bucket, cell.alias("cell"), F.lit(asks).cast("long").alias("asks"), "node", "n", "family", *LOW)
+
+    met = _dealt(cells(0, "_parts", "_blocks").union(cells(1, "_blocks", "_parts")), *bucket, "cell")
+    pairs.append(met.mapInArrow(_scan(3, 2, ["a", "b", "agree"], _cell_step(similarity, maybe)), "a long, b long, agree long"))
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.union(more)
+    return out
 
 
 def near_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b, agree)`` among ``nodes (node, n, keys, lows...)`` from each band's buckets, at most one and a forest's
-    link for each node and bucket."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Pairs ``(a, b, agree)`` among ``nodes (node, n, keys, lows...)`` from each band's buckets: a forest's links, and of
+    other pairs that may reach ``similarity`` at most one for each node and bucket (in large ones, and family)."""
     spread = nodes.filter("n > 0").select("*", F.posexplode("keys").alias("_t", "key"))
     rows = spread.select(F.col("_t").cast("long").alias("bucket"), "key", "node", "n", *LOW)
-    dealt = rows.repartition(parts, "bucket", "key").sortWithinPartitions("bucket", "key", "node")
-    return dealt.mapInArrow(_pair_scan(similarity, agreement(similarity, SURE), agreement(similarity, MAYBE)), "a long, b long, agree long")
+    beyond = max(HELD, nodes.count() * BANDS // BUCKETS)
+    large = materialize(rows.groupBy("bucket", "key").count().filter(F.col("count") > beyond).select("bucket", "key"), "near-buckets")
+    some = not large.isEmpty()
+    plain = rows.join(F.broadcast(large), ["bucket", "key"], "left_anti") if some else rows
+    step = _scan(2, 2, ["a", "b", "agree"], _pair_step(similarity, agreement(similarity, SURE), agreement(similarity, MAYBE)))
+    pairs = _dealt(plain, "bucket", "key").mapInArrow(step, "a long, b long, agree long")
+    return pairs.union(large_bucket_pairs(rows.join(F.broadcast(large), ["bucket", "key"], "left_semi"), similarity)) if some else pairs
 
 
 #: The verification: links of one text that a task checks with one copy of it.

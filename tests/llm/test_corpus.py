@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from mnemospark.llm import components as stars
 from mnemospark.llm import fmindex, lm, mixing, neighbours, reputation, simhash, substrings
 from mnemospark.llm.components import components
 
@@ -148,6 +149,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(stars, "FEW", 2)
+    monkeypatch.setattr(stars, "HUBS", 20)
+    rng = random.Random(11)
+    edges = [(5, k) for k in range(10, 60)] + [(k, 200 + k % 3) for k in range(60, 120)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(59, 60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_near_duplicate_stage(spark, awkward, awkward_rows, empty):
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
@@ -203,6 +223,27 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == want and len(want) < len(ids)
 
 
+@pytest.mark.parametrize("held", [3, 16])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, held):
+    """Buckets dealt out in parts keep what buckets in one piece keep: big families, families that only meet in other
+    rows than their first, and texts that share a passage without being alike."""
+    rng, rows = random.Random(12), []
+    for f in range(3):
+        base = [f"f{f}x{rng.randrange(4000)}" for _ in range(300)]
+        rows += [" ".join(w if j != 7 * k else "changed" for j, w in enumerate(base)) for k in range(40)]
+        rows.append(" ".join(base + [f"g{f}x{k}" for k in range(60)]))
+    chain = [f"c{rng.randrange(9000)}" for _ in range(900)]
+    rows += [" ".join(chain[20 * k : 20 * k + 300]) for k in range(30)]
+    passage = " ".join(f"p{rng.randrange(4000)}" for _ in range(240))
+    rows += [passage + " " + " ".join(f"q{rng.randrange(9000)}" for _ in range(90)) for _ in range(30)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    monkeypatch.setattr(simhash, "HELD", held)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == want
+    assert 30 <= len(want) < 60
+
+
 def test_near_duplicates_are_verified_and_other_partners_tried(spark):
     rng, rows, stay = random.Random(6), [], set()
     for k in range(40):
