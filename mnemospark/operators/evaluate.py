@@ -22,14 +22,33 @@ def with_rates(counts: DataFrame, empty: float = 1.0) -> DataFrame:
     return counts.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
+#: Ranges of values that running counts are summed in.
+BINS = 1024
+
+
+def counts_below(per: DataFrame, value: str, count: str) -> DataFrame:
+    """``per``, one row per distinct ``value``, with ``_below``: the sum of ``count`` over smaller values.
+
+    Values are cut into at most BINS + 1 ranges; sums run inside each range and over the ranges, never over all values.
+    """
+    x = F.col(value).cast("double")
+    ends = F.broadcast(per.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    place = F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    bin_ = F.when(F.isnan(place), BINS).otherwise(F.floor(F.coalesce(place, F.lit(0.0)) * (BINS - 1))).cast("int")
+    cut = per.crossJoin(ends).withColumn("_bin", bin_).drop("_lo", "_hi")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_bin").agg(F.sum(count).alias("_s")).select("_bin", F.coalesce(F.sum("_s").over(before.orderBy("_bin")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(count).over(before.partitionBy("_bin").orderBy(value)), F.lit(0))
+    return cut.join(F.broadcast(sums), "_bin").withColumn("_below", F.col("_base") + inside).drop("_bin", "_base")
+
+
 def auc(rows: DataFrame, truth: Column, score: Column) -> DataFrame:
     """Share of positive-negative pairs in the right order, ties half, as one row; null without both.
 
     From counts per distinct score, so neither pairs nor ranks of single rows are made.
     """
     per = rows.filter(truth.isNotNull() & score.isNotNull()).groupBy(score.alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.select((F.col("p") * (below + F.col("n") / 2)).alias("w"), "p", "n")
+    wins = counts_below(per, "s", "n").select((F.col("p") * (F.col("_below") + F.col("n") / 2)).alias("w"), "p", "n")
     total = F.sum("p") * F.sum("n")
     return wins.agg(F.when(total > 0, F.sum("w") / total).alias("auc"))
 
@@ -59,11 +78,19 @@ def histogram(rows: DataFrame, score: Column, label: Column, bands: int = 5) ->
 
 
 def upper_median(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, least, upper median and largest value of each group (A15, A16): the median is element n // 2 of the sorted."""
-    w = Window.partitionBy(*by)
-    place = rows.filter(F.col(value).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    middle = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col(value)))
-    return place.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), middle.alias("median"), F.max(value).alias("most"))
+    """n, least, upper median and largest value of each group (A15, A16): the median is element n // 2 of the sorted.
+
+    From counts per distinct value; without groups these run in ranges.
+    """
+    per = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    if by:
+        below = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        place = per.withColumns({"_below": F.coalesce(below, F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    else:
+        place = counts_below(per, value, "_c").crossJoin(F.broadcast(per.agg(F.sum("_c").alias("_n"))))
+    middle = F.floor(F.col("_n") / 2)
+    here = (F.col("_below") <= middle) & (middle < F.col("_below") + F.col("_c"))
+    return place.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.min(value).alias("least"), F.max(F.when(here, F.col(value))).alias("median"), F.max(value).alias("most"))
 
 
 def stability(runs: DataFrame) -> DataFrame:

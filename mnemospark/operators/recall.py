@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,21 +49,30 @@ def rendered_line(config: RecallConfig) -> Column:
     return F.when(T.hash_text(shown) == F.col("id"), without).otherwise(with_id) if config.omit_redundant_id else with_id
 
 
-def scored(memories: DataFrame, now_ms: int, cwd: str | None, config: RecallConfig, relevance: DataFrame | None = None) -> DataFrame:
-    """Eligible memories with ``score`` and ``age_days`` (F8, M3-M5); ``relevance (id, score)`` is scaled by its best."""
+def scored(memories: DataFrame, now_ms: int, cwd: str | None, config: RecallConfig, relevance: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Eligible memories with ``score`` and ``age_days`` (F8, M3-M5); ``relevance (id, score)`` is scaled by its best.
+
+    With a small table of ``queries (qid, query)``, every memory for each of them, and ``relevance`` has their ``qid``;
+    for blank queries relevance has no weight.
+    """
+    by = [] if queries is None else ["qid"]
     eligible = F.col("type").isin(*config.types) & in_scope(F.col("cwd"), cwd)
     eligible &= (F.col("status") == "active") | (F.lit(config.include_needs_review) & (F.col("status") == "needs-review"))
     out = memories.filter(eligible).withColumn("age_days", maths.age_days(F.col("created_at"), now_ms))
     weight = min(1.0, max(0.0, config.relevance_weight)) if relevance is not None else 0.0
     prior = maths.prior(F.col("importance"), F.col("age_days"))
+    if by:
+        out = out.crossJoin(F.broadcast(queries.select("qid", F.coalesce(F.col("query").rlike("\\S"), F.lit(False)).alias("_asks")).distinct()))
     if weight:
-        # one row, so it may be broadcast
-        best = F.broadcast(relevance.agg(F.max("score").alias("_best")))
-        scaled = relevance.crossJoin(best).select(F.col("id").alias("_id"), (F.col("score") / F.col("_best")).alias("_rel"))
-        out = out.join(scaled, F.col("id") == F.col("_id"), "left")
-        out = out.withColumn("score", maths.blend(F.col("_rel"), prior, weight)).drop("_id", "_rel")
+        # one row, or one for each query, so it may be broadcast
+        best = F.broadcast(relevance.groupBy(*by).agg(F.max("score").alias("_best")))
+        scaled = relevance.join(best, "qid") if by else relevance.crossJoin(best)
+        out = out.join(scaled.select("id", *by, (F.col("score") / F.col("_best")).alias("_rel")), ["id", *by], "left")
+        blended = maths.blend(F.col("_rel"), prior, weight)
+        out = out.withColumn("score", F.when(F.col("_asks"), blended).otherwise(prior) if by else blended).drop("_rel")
     else:
         out = out.withColumn("score", prior)
+    out = out.drop("_asks")
     return out.withColumn("score", F.col("score") + maths.recency(F.col("age_days"), config.recency_bonus)) if config.recency_bonus > 0 else out
 
 
@@ -154,6 +164,70 @@ def select_memories(memories: DataFrame, query: str, now_ms: int, cwd: str | Non
     return pick(rows.select("id", "type", "text", "score", "age_days", "created_at", "line"), config)
 
 
+def sweep(memories: DataFrame, probes: DataFrame, settings: dict[str, RecallConfig], now_ms: int, cwd: str | None = None, genuine: Column | None = None) -> DataFrame:
+    """One row for each of the named settings (A17, A19): the number of ``probes (qid, query, target_id)``, how many have
+    their target among the chosen memories, mean count and mean tokens of the block, the share of the chosen memories
+    that are ``genuine``, and how many probes have a block at all.
+
+    Probes and settings are few; every probe meets every eligible memory once for each setting.
+    """
+    hits = search_scores(memories, probes.select("qid", "query"), cwd)
+    out = None
+    for name, config in settings.items():
+        rows = scored(memories, now_ms, cwd, config, hits, probes).withColumn("line", rendered_line(config))
+        rows = rows.withColumn("_genuine", F.lit(True) if genuine is None else F.coalesce(genuine, F.lit(False)))
+        chosen = pick(rows.select("qid", "id", "type", "score", "created_at", "line", "_genuine"), config, ("qid",))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+        block = F.concat(F.lit(HEADER + "\n"), lines, F.lit(HELP))
+        blocks = chosen.groupBy("qid").agg(F.count("*").alias("n"), F.count_if("_genuine").alias("good"), T.estimate_tokens(block).alias("tokens"), F.collect_set("id").alias("ids"))
+        each = probes.join(blocks, "qid", "left")
+        n, tokens, good = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "tokens", "good"))
+        row = each.agg(
+            F.count("*").alias("probes"), F.count_if(F.array_contains("ids", F.col("target_id"))).alias("covered"), F.avg(n).alias("mean_count"), F.avg(tokens).alias("mean_tokens"),
+            F.coalesce(F.try_divide(F.sum(good), F.sum(n)), F.lit(0.0)).alias("share"), F.count_if(n > 0).alias("non_empty"),
+        )
+        row = row.select(F.lit(name).alias("setting"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
+#: The types that a memory can have, and what each setting of a recall must be.
+TYPES = ("constraint", "pitfall", "decision", "preference", "fact")
+
+
+def resolve_config(raw: dict) -> tuple[RecallConfig, list[str]]:
+    """The configuration of untrusted ``raw`` values and what was wrong with them (F24): unknown types are dropped,
+    numbers that are none or not finite become the default, shares are held to [0, 1], quotas add to the defaults."""
+    default, problems, found = RecallConfig(), [], {}
+    if isinstance(raw.get("types"), (list, tuple)):
+        known = tuple(t for t in raw["types"] if t in TYPES)
+        if len(known) < len(raw["types"]):
+            problems.append("types: unknown type names were dropped")
+        found["types"] = known or default.types
+    for name in ("max_tokens", "relevance_weight", "recency_bonus", "recent_slots", "fixed_tokens"):
+        if raw.get(name) is None:
+            continue
+        value = raw[name]
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+            problems.append(f"{name}: not a finite number; using the default")
+        else:
+            found[name] = min(1.0, max(0.0, float(value))) if name == "relevance_weight" else float(value) if name == "recency_bonus" else int(value)
+    for name in ("include_needs_review", "prefer_canonical", "omit_redundant_id"):
+        if isinstance(raw.get(name), bool):
+            found[name] = raw[name]
+        elif raw.get(name) is not None:
+            problems.append(f"{name}: not a boolean; using the default")
+    quota = raw.get("quota")
+    if isinstance(quota, dict):
+        good = {t: int(q) for t, q in quota.items() if isinstance(q, (int, float)) and not isinstance(q, bool) and math.isfinite(q)}
+        if len(good) < len(quota):
+            problems.append("quota: not a finite number; using the default")
+        found["quota"] = default.quota | good
+    elif quota is not None:
+        problems.append("quota: not a mapping; using the default")
+    return replace(default, **found), problems
+
+
 def render(chosen: DataFrame, include_help: bool = True) -> DataFrame:
     """One row with the block; empty without memories."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")

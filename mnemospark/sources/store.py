@@ -14,13 +14,25 @@ from .schemas import ARCHIVE, RAW_MEMORY
 
 
 def read_memories(spark: SparkSession, path: str, now_ms: int) -> tuple[DataFrame, bool]:
-    """Memories of a JSON document ``{"records": [...]}`` and whether it could be read (S1): a corrupt one is an empty
-    store; the caller keeps the file aside."""
+    """Memories of a JSON document ``{"records": [...]}`` and whether it could be read (S1): a missing one is an empty
+    store, a corrupt one is too and is kept aside as ``<path>.corrupt-<now_ms>``."""
+    if not _file_system(spark, path)[0].exists(_file_system(spark, path)[1]):
+        return coerce_records(spark.createDataFrame([], RAW_MEMORY), now_ms), True
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(f"records array<struct<{', '.join(f'{n}: {t}' for n, t in _fields(RAW_MEMORY))}>>, _corrupt_record string").json(path)
     healthy = raw.filter("records is null").limit(1).count() == 0
+    if not healthy:
+        files, at = _file_system(spark, path)
+        files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.corrupt-{now_ms}"))
+        return coerce_records(spark.createDataFrame([], RAW_MEMORY), now_ms), False
     return coerce_records(raw.filter("records is not null").select(F.inline("records")), now_ms), healthy
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _fields(schema: str) -> list[tuple[str, str]]:
     from pyspark.sql.types import StructType
 

@@ -66,6 +66,47 @@ def test_relevance_against_importance(spark):
     assert ids(C.select_memories(m, "how do we deploy", NOW, None, C.RecallConfig(relevance_weight=0.0)))[0] == "style"
 
 
+def test_sweep_equals_one_selection_after_another(spark):
+    words = "deploy lane blue green cache proxy socket shard index table".split()
+    m = store(spark, *[memory(f"m{k}", ("constraint", "pitfall", "decision", "fact")[k % 4], text=" ".join(words[(k * 3 + j * j) % 10] for j in range(4 + 6 * (k % 5))), importance=(k * 37 % 100) / 100, age=k % 9) for k in range(40)])
+    rows = [(0, "deploy the blue lane", "m3"), (1, "shard index", "m8"), (2, "", "m1"), (3, "nothing held", "m2")]
+    probes = spark.createDataFrame(rows, "qid int, query string, target_id string")
+    settings = {"plain": C.RecallConfig(), "small": C.RecallConfig(max_tokens=110), "slots": C.RecallConfig(recent_slots=2, max_tokens=160), "none": C.RecallConfig(max_tokens=1), "recent": C.RecallConfig(recency_bonus=0.6, relevance_weight=0.3)}
+    got = {r.setting: r for r in C.sweep(m, probes, settings, NOW, None, F.col("importance") >= 0.5).collect()}
+    good = {r.id for r in m.filter("importance >= 0.5").collect()}
+    for name, config in settings.items():
+        picked = [(t, C.select_memories(m, q, NOW, None, config)) for _, q, t in rows]
+        chosen = [ids(c) for _, c in picked]
+        tokens = [C.render(c).select(T.estimate_tokens("block")).first()[0] if i else 0 for (_, c), i in zip(picked, chosen)]
+        flat = [i for c in chosen for i in c]
+        r = got[name]
+        assert (r.probes, r.covered, r.non_empty) == (4, sum(t in c for (t, _), c in zip(picked, chosen)), sum(map(bool, chosen)))
+        assert (r.mean_count, r.mean_tokens) == (len(flat) / 4, sum(tokens) / 4)
+        assert r.share == (sum(i in good for i in flat) / len(flat) if flat else 0.0)
+
+
+def test_config_of_odd_values():
+    config, problems = C.resolve_config({"types": ["pitfall", "odd", 3], "max_tokens": float("nan"), "relevance_weight": 7, "recent_slots": "2", "quota": {"fact": 4, "pitfall": None}, "prefer_canonical": 1})
+    assert config == C.RecallConfig(types=("pitfall",), relevance_weight=1.0, quota={"constraint": 4, "pitfall": 3, "decision": 2, "fact": 4})
+    assert [p.split(":")[0] for p in problems] == ["types", "max_tokens", "recent_slots", "prefer_canonical", "quota"]
+    assert C.resolve_config({}) == (C.RecallConfig(), [])
+
+
+def test_counts_in_ranges(spark):
+    values = [float("inf"), -float("inf"), 0.0, 1e-9, 5.0, 5.0, 2.5, -3.0, 7.25, float("nan")]
+    rows = spark.createDataFrame([(v, k % 3 == 0) for k, v in enumerate(values)], "s double, t boolean")
+    for some in (rows, rows.filter("s < 100 and s > -100")):
+        pairs = [(p.s, n.s) for p in some.collect() if p.t for n in some.collect() if not n.t]
+        rank = lambda x: (x != x, 0.0 if x != x else x)
+        want = sum((rank(a) > rank(b)) + (rank(a) == rank(b)) / 2 for a, b in pairs) / len(pairs)
+        assert abs(V.auc(some, F.col("t"), F.col("s")).first().auc - want) < 1e-12
+    ints = spark.createDataFrame([(k * 7 % 5, k % 2) for k in range(11)] + [(None, 0)], "v int, g int")
+    assert V.upper_median(ints, "v").first() == (11, 0, 2, 4)
+    want = {g: sorted(k * 7 % 5 for k in range(11) if k % 2 == g) for g in (0, 1)}
+    assert {r.g: tuple(r)[1:] for r in V.upper_median(ints, "v", "g").collect()} == {g: (len(w), w[0], w[len(w) // 2], w[-1]) for g, w in want.items()}
+    assert V.upper_median(ints.limit(0), "v").first().median is None
+
+
 def test_block(spark):
     m = store(spark, memory("a", text="use yarn"))
     block = C.render(C.select_memories(m, "", NOW)).first().block
@@ -185,7 +226,9 @@ def test_store_round_trip(spark, tmp_path):
     assert healthy and set(got) == {"a b", "c"} and got["a b"].type == "fact" and got["a b"].importance == 1.0 and got["c"].created_at == 5 and got["c"].source.seq == 3
     doc.write_text("{not json")
     rows, healthy = files.read_memories(spark, str(doc), NOW)
-    assert not healthy and rows.count() == 0
+    assert not healthy and rows.count() == 0 and not doc.exists() and (tmp_path / f"doc.json.corrupt-{NOW}").read_text() == "{not json"
+    rows, healthy = files.read_memories(spark, str(doc), NOW)
+    assert healthy and rows.count() == 0
 
 
 def test_archive_round_trip(spark, tmp_path):
