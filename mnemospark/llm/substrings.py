@@ -173,7 +173,7 @@ def _search_shard(window: int):
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
     """``(tkey, tkey2, spans)`` for each distinct text of ``texts (text, tkey, tkey2)`` with a repeated window, and
-    ``(tkey, tkey2, text)`` of all distinct texts that were searched, these among them.
+    ``(tkey, tkey2, text)`` of all distinct texts that may hold one, these among them.
 
     spans is [from, to, from, to, ...] in words of that text; ranges may overlap.
     """
@@ -188,10 +188,12 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     any_hot = (facts[1] or 0) > hot_runs and hot.limit(1).count() > 0
     distinct = distinct.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else distinct.withColumn("hot", F.lit(False))
     wanted = distinct.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "f", "times", "start", "windows", "hot")).alias("runs"))
+    # a text all of whose runs are cut out of other texts has no run of its own here; all its windows are repeats
+    wanted = likely.select(*KEYS).distinct().join(wanted, KEYS, "left")
     # one copy of each text suffices to cut its runs out; this is the only time that all texts are shuffled
     single = texts.select("text", *KEYS).dropDuplicates(KEYS)
     searched = materialize(single.join(wanted, KEYS).select("text", "runs", *KEYS), "sub-searched")
-    cut = searched.select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string, hot_m long, hot_f long, at int")
+    cut = searched.filter("runs is not null").select("text", "runs").mapInArrow(_cut_runs(window), "m long, f long, times long, words string, hot_m long, hot_f long, at int")
     pieces = cut.select("m", "f", "times", "words")
     if any_hot:
         cut = materialize(cut, "sub-cut")

@@ -51,6 +51,14 @@ def test_substrings_with_few_words(spark, alphabet):
     assert got == {i: " ".join(k) for (i, _), k in zip(rows, kept)}
 
 
+def test_substrings_of_texts_inside_others(spark):
+    """Texts all of whose runs stand in other texts too lose their words in the digest as well."""
+    rows = [(n, "a " * n) for n in (81, 195, 337, 451, 860)] + [(2000, " ".join(f"w{k}" for k in range(100)))]
+    words, kept = brute_removed([t for _, t in rows], 35)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for (i, _), w, k in zip(rows, words, kept)}
+
+
 @pytest.mark.parametrize("hot", [0, 2, 10])
 def test_substrings_with_hot_grams(spark, hot):
     """A passage in many contexts, and a text that repeats one word: the same result by single windows."""
