@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import maths
 from ..functions import text as T
 from ..functions.tokens import token_list, token_set
+from .nearest import nearest
 
 K1, B, NAME_BONUS = 1.2, 0.75, 16.0
 FEW_NAMES = 256
@@ -133,9 +134,8 @@ def vector_search(memories: DataFrame, queries: DataFrame, limit: int = 20) -> D
 def conflict_partners_by_vector(incoming: DataFrame, memories: DataFrame, limit: int = 20) -> DataFrame:
     """``limit`` memories ``(id, embedding, updated_at)`` for each incoming ``(qid, embedding)`` by cosine, whatever its
     sign, the newest first on ties (O5)."""
-    pairs = incoming.select("qid", F.col("embedding").alias("q")).crossJoin(memories.select("id", "embedding", "updated_at"))
-    scores = pairs.select("qid", "id", "updated_at", maths.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return ranked(scores, F.col("updated_at").desc()).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
+    hits = nearest(incoming, memories, "updated_at", limit)
+    return ranked(hits, F.col("updated_at").desc()).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
 
 
 def hybrid(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-written expectations of the memory engine."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +275,40 @@ def test_names_are_found_either_way(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(R, "FEW_NAMES", 0)
     assert few == found() == {(0, "a", "memory.json"), (0, "b", "memory.json"), (1, "a", "Config.yaml"), (1, "d", "plain")}
+
+
+def _cosine(a, b):
+    ok = a and b and len(a) == len(b) and None not in a and None not in b
+    norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) if ok else 0
+    return sum(x * y for x, y in zip(a, b)) / norms if norms else 0.0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    """Vectors with many copies and ties, others of no use."""
+    rng = random.Random(3)
+    rows = [(str(k), [float(rng.randint(-2, 2)) for _ in range(3)], rng.randint(0, 3), k % 4 / 4) for k in range(300)]
+    rows += [(f"x{k}", v, 9, 1.0) for k, v in enumerate([None, [], [0.0] * 3, [1.0], [1.0, None, 2.0], [1e-3, 2e-3, 3e-3]])]
+    return rows, spark.createDataFrame(rows, "id string, embedding array<double>, updated_at long, importance double")
+
+
+def _nearest(rows, place, positive):
+    out = set()
+    for q, v, _, _ in rows[::5]:
+        hits = [(i, _cosine(v, w), rows[k][place]) for k, (i, w, _, _) in enumerate(rows)]
+        hits = sorted([h for h in hits if h[1] > 0 or not positive], key=lambda h: (-round(h[1], 9), -h[2], h[0]))
+        out |= {(q, i, round(s, 9), k + 1) for k, (i, s, _) in enumerate(hits[:20])}
+    return out
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_partners_in_blocks(spark, vectors):
+    rows, df = vectors
+    queries = df.filter(F.col("id").isin([r[0] for r in rows[::5]])).select(F.col("id").alias("qid"), "embedding")
+    got = R.conflict_partners_by_vector(queries, df)
+    assert "Join" not in _plan(got)  # no table of all pairs
+    assert {(r.qid, r.id, round(r.score, 9), r["rank"]) for r in got.collect()} == _nearest(rows, 2, False)
+    assert R.conflict_partners_by_vector(queries.limit(0), df).count() == 0
