@@ -127,7 +127,7 @@ def vector_rank(vectors: DataFrame, queries: DataFrame, limit: int | None = None
 
 def vector_search(memories: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Memories ``(id, embedding, importance)`` by cosine, only positive ones, the more important first on ties."""
-    hits = vector_rank(memories, queries).drop("rank").join(memories.select("id", "importance"), "id")
+    hits = nearest(queries, memories, "importance", limit, positive=True)
     return ranked(hits, F.col("importance").desc()).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
 
 

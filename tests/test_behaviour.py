@@ -312,3 +312,11 @@ def test_vector_partners_in_blocks(spark, vectors):
     assert "Join" not in _plan(got)  # no table of all pairs
     assert {(r.qid, r.id, round(r.score, 9), r["rank"]) for r in got.collect()} == _nearest(rows, 2, False)
     assert R.conflict_partners_by_vector(queries.limit(0), df).count() == 0
+
+
+def test_vector_search_in_blocks(spark, vectors):
+    rows, df = vectors
+    queries = df.filter(F.col("id").isin([r[0] for r in rows[::5]])).select(F.col("id").alias("qid"), "embedding")
+    got = R.vector_search(df, queries)
+    assert "Join" not in _plan(got)
+    assert {(r.qid, r.id, round(r.score, 9), r["rank"]) for r in got.collect()} == _nearest(rows, 3, True)
