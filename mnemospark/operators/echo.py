@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.tokens import token_set
+from .nearest import best_coverage
 
 
 def echo_windows(needle: Column, floor: Column) -> Column:
@@ -86,10 +87,10 @@ def overlap_join(items: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
 def global_echoes(candidates: DataFrame, messages: DataFrame, min_tokens: int = 15, min_coverage: float = 0.95) -> DataFrame:
     """``(cid, coverage)`` against all messages of any session with an earlier time.
 
-    Spans and messages meet by tokens, never pair by pair.
+    Blocks of spans meet blocks of messages; what two of them share is counted inside one task, and no pair is shuffled.
+    Tokens are told apart by 64-bit hashes.
     """
-    words = candidates.select("cid", "time", token_set(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    a = words.select("cid", "time", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    b = messages.filter("role = 'assistant'").select("mid", F.col("time").alias("said_at"), F.explode(token_set(F.col("text"))).alias("token"))
-    shared = a.join(b, "token").filter(F.col("said_at") < F.col("time")).groupBy("cid", "mid").agg((F.count("*") / F.first("n")).alias("coverage"))
-    return shared.filter(F.col("coverage") >= min_coverage).groupBy("cid").agg(F.max("coverage").alias("coverage"))
+    hashes = F.transform(token_set(F.col("text")), lambda t: F.xxhash64(t))
+    words = candidates.select("cid", "time", hashes.alias("tokens")).filter(F.size("tokens") >= min_tokens)
+    said = messages.filter("role = 'assistant'").select("mid", F.col("time").alias("said_at"), hashes.alias("tokens"))
+    return best_coverage(words, said, min_coverage)

@@ -122,3 +122,81 @@ def nearest(queries: DataFrame, vectors: DataFrame, tie: str, limit: int, positi
     # the two sides may be one table, so the queries' column gets a name of its own
     met = in_blocks(queries.select("qid", F.col("embedding").alias("q")), vectors.select("id", "embedding", tie), "qid", "id", QUERIES, ROWS, 1, LEAST)
     return met.applyInArrow(search, schema)
+
+
+#: Tokens of a block whose counts are a product of matrices; the others are counted one by one.
+DENSE = 256
+
+
+def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token of each entry of ``tokens``."""
+    column = table.column("tokens")
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def most_shared(a: tuple[np.ndarray, np.ndarray], time: np.ndarray, b: tuple[np.ndarray, np.ndarray], said_at: np.ndarray) -> np.ndarray:
+    """For each row of ``a`` the most of its tokens that one row of ``b`` with an earlier time holds. Both are (row, token)
+    with each token of a row once, and come in the order of their times."""
+    tokens, code = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
+    x, y = code[: len(a[1])], code[len(a[1]) :]
+    nx, ny = np.bincount(x, minlength=len(tokens)), np.bincount(y, minlength=len(tokens))
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(-(nx * ny), kind="stable")] = np.arange(len(tokens))
+    x, y = rank[x], rank[y]
+    both = np.zeros(len(tokens), bool)
+    both[rank] = (nx > 0) & (ny > 0)
+    wide = min(DENSE, int(both.sum()))
+    left, right = np.zeros((len(time), wide), np.float32), np.zeros((len(said_at), wide), np.float32)
+    left[a[0][x < wide], x[x < wide]] = 1
+    right[b[0][y < wide], y[y < wide]] = 1
+    rare_x, rare_y = (x >= wide) & both[x], (y >= wide) & both[y]
+    row, x = a[0][rare_x], x[rare_x]
+    by = np.lexsort((b[0][rare_y], y[rare_y]))
+    post, y = b[0][rare_y][by], y[rare_y][by]
+    before = np.searchsorted(said_at, time)
+    out = np.zeros(len(time), np.int64)
+    for lo in range(0, len(time), 256):
+        hi = min(lo + 256, len(time))
+        s, e = np.searchsorted(row, [lo, hi])
+        begin, end = np.searchsorted(y, x[s:e]), np.searchsorted(y, x[s:e], side="right")
+        # the rare tokens' pairs, in the order of the rows of b
+        n = end - begin
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        r, c = np.repeat(row[s:e] - lo, n), post[at]
+        by = np.argsort(c, kind="stable")
+        r, c = r[by], c[by]
+        most = np.zeros(hi - lo, np.float32)
+        for start in range(0, int(before[hi - 1]), 4096):
+            stop = min(start + 4096, int(before[hi - 1]))
+            part = left[lo:hi] @ right[start:stop].T
+            f, t = np.searchsorted(c, [start, stop])
+            np.add.at(part.reshape(-1), r[f:t] * (stop - start) + c[f:t] - start, np.float32(1))
+            if before[lo] < stop:
+                part[np.arange(start, stop) >= before[lo:hi, None]] = 0
+            most = np.maximum(most, part.max(axis=1))
+        out[lo:hi] = most
+    return out
+
+
+def best_coverage(spans: DataFrame, messages: DataFrame, min_coverage: float) -> DataFrame:
+    """``(cid, coverage)``: of the spans ``(cid, time, tokens)`` the largest share of tokens that one of ``messages (mid,
+    said_at, tokens)`` with an earlier time holds, where that is ``min_coverage`` or more. Tokens are hashes, each once in
+    a row; every span meets every message."""
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return none
+        a, b = a.filter(pc.is_valid(a.column("time"))), b.filter(pc.is_valid(b.column("said_at")))
+        a, b = a.sort_by("time"), b.sort_by("said_at")
+        shared = most_shared(_tokens(a), a.column("time").to_numpy(), _tokens(b), b.column("said_at").to_numpy())
+        share = shared / np.maximum(pc.list_value_length(a.column("tokens")).to_numpy(), 1)
+        hit = (share >= min_coverage) & (shared > 0)
+        return pa.table({"cid": a.column("cid").filter(pa.array(hit)), "coverage": share[hit]})
+
+    met = in_blocks(spans.select("cid", "time", "tokens"), messages.select("mid", "said_at", "tokens"), "cid", "mid", 2 * ROWS, QUERIES, 2, 6)
+    schema = T.StructType([T.StructField("cid", spans.schema["cid"].dataType), T.StructField("coverage", T.DoubleType())])
+    none = to_arrow_schema(schema).empty_table()
+    found = met.applyInArrow(search, schema)
+    return found.groupBy("cid").agg(F.max("coverage").alias("coverage"))

@@ -320,3 +320,20 @@ def test_vector_search_in_blocks(spark, vectors):
     got = R.vector_search(df, queries)
     assert "Join" not in _plan(got)
     assert {(r.qid, r.id, round(r.score, 9), r["rank"]) for r in got.collect()} == _nearest(rows, 3, True)
+
+
+def test_global_echoes_in_blocks(spark):
+    """Spans meet messages in blocks: the same coverage as trying all pairs, and no row for each shared token."""
+    rng = random.Random(4)
+    rows = [(f"{k}", rng.choice(["user", "assistant", "assistant"]), rng.randint(0, 40), " ".join(f"tok{min(rng.randrange(1, 600), rng.randrange(1, 600))}" for _ in range(rng.randint(0, 25)))) for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, role string, time long, text string")
+    got = E.global_echoes(df.filter("role = 'user'").withColumnRenamed("id", "cid"), df.withColumnRenamed("id", "mid"), 5, 0.3)
+    assert "Join" not in _plan(got)
+    want = {}
+    said = [(t, set(x.split())) for _, role, t, x in rows if role == "assistant"]
+    for i, role, t, x in rows:
+        mine = set(x.split())
+        best = max((len(mine & s) / len(mine) for u, s in said if u < t), default=0) if role == "user" and len(mine) >= 5 else 0
+        if best >= 0.3:
+            want[i] = best
+    assert {r.cid: r.coverage for r in got.collect()} == want and want
