@@ -231,6 +231,19 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == want and len(want) < len(ids)
 
 
+def test_all_pairs_between_groups_are_verified(spark, monkeypatch):
+    """Seven texts, each pair of them near the limit: the one link is found though its estimate is among the lowest."""
+    alike = [105, 104, 103, 102, 101, 100, 101]
+    low = np.zeros((7, simhash.MINIMA), np.uint8)
+    for k, n in enumerate(alike):
+        low[k, n:] = k + 1
+    rows = [(k, 1000, [1, *range(100 * k + 100, 100 * k + 100 + simhash.BANDS - 1)], *map(int, low[k].view(np.int64))) for k in range(7)]
+    nodes = spark.createDataFrame(rows, ", ".join(["node long, n long, keys array<long>", *(f"{c} long" for c in simhash.LOW)]))
+    monkeypatch.setattr(simhash, "verified", lambda pairs, texts, similarity: pairs.withColumn("near", (F.least("a", "b") == 5) & (F.greatest("a", "b") == 6)))
+    got = simhash.near_set_links(nodes, None, 0.8).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == {(5, 6)}
+
+
 @pytest.mark.parametrize("held", [3, 16])
 def test_near_duplicates_in_large_buckets(spark, monkeypatch, held):
     """Buckets dealt out in parts keep what buckets in one piece keep: big families, families that only meet in other
