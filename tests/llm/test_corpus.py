@@ -370,6 +370,24 @@ def test_language_model(spark, awkward_rows, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_language_model_has_heads_of_rare_groups(spark):
+    """A group whose tokens come after hundreds of more frequent ones has its most frequent tokens as heads too."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(700)] * 60
+    rng.shuffle(words)
+    rows = [" ".join(x for w in words[k : k + 100] for x in (f"a{rng.randrange(31)}", w)) for k in range(0, len(words), 100)]
+    rows += [" ".join(f"bbb x{rng.randrange(30)}" for _ in range(10)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    _, found, _ = lm.encode_documents(docs)
+    seen = collections.Counter(w for k, t in enumerate(rows) if zlib.crc32(str(k).encode()) % 7 != 2 for w in t.split())
+    code = {w: int(lm.as_long(lm.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])))[0]) for w in seen}
+    first = lm.FIRST_LEAF + found.groups[code["bbb"]] * lm.WIDTH
+    heads = {t for t, leaf in found.leaf.items() if first <= leaf < first + lm.HEADS}
+    least = min(n for w, n in seen.items() if code[w] in heads)
+    assert len(heads) == lm.HEADS
+    assert all(code[w] in heads or w == "bbb" or seen[w] <= least for w in seen if w[0] in "bx")
+
+
 def test_language_model_of_awkward_rows(awkward, awkward_rows):
     got = lm.score_documents(awkward).collect()
     assert len(got) == len(awkward_rows) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
