@@ -265,6 +265,81 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch, held):
     assert 30 <= len(want) < 60
 
 
+def test_pairs_of_a_dense_bucket_stay_in_proportion(spark):
+    """Ninety texts of one bucket, each pair near the limit: a few pairs a row, the best, and the bucket is named."""
+    size = 90
+    low = np.zeros((size, simhash.MINIMA), np.uint8)
+    for k in range(size):
+        low[k, 100 + k % 8 :] = k + 1
+    rows = [(k, 1000, [1, *range(100 * k + 100, 100 * k + 100 + simhash.BANDS - 1)], *map(int, low[k].view(np.int64))) for k in range(size)]
+    nodes = spark.createDataFrame(rows, ", ".join(["node long, n long, keys array<long>", *(f"{c} long" for c in simhash.LOW)]))
+    got = [(r.a, r.b, r.agree) for r in simhash.near_pairs(nodes, 0.8).collect()]
+    assert len(got) <= simhash.TRIES * size + 1 and [x for x in got if x[2] < 0] == [(0, 1, -1)]
+    assert {k for a, b, _ in got[:-1] for k in (a, b)} == set(range(size))
+
+
+@pytest.mark.parametrize("held", [8192, 16])
+def test_dense_groups_against_all_pairs(spark, monkeypatch, held):
+    """Groups of variants near the limit, in which few are linked: what all pairs connect is one group, nothing else is."""
+    rng, rows = random.Random(21), []
+    for g in range(3):
+        base = [f"g{g}x{rng.randrange(9000)}" for _ in range(300)]
+        edits = [rng.sample(range(300), 14) for _ in range(4)]
+        for k in range(70):
+            text = list(base)
+            for j in rng.sample(range(300), rng.randint(3, 7)) if k % 3 else rng.sample(edits[k % 4], 7):
+                text[j] = f"e{g}x{k}x{j}" if k % 3 else f"s{g}x{j}"
+            rows.append(" ".join(text))
+    rng.shuffle(rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = {k for k in range(len(rows)) if find(k) == k}
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "SIDE", (16, 32))
+    met, cells = [], simhash.dense_links
+    monkeypatch.setattr(simhash, "dense_links", lambda *given: met.append(1) or cells(*given))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == want
+    assert met and 20 <= len(want) < 180, len(want)
+
+
+@pytest.mark.parametrize("band", [0, 3])
+def test_cells_find_every_link_once(band):
+    """A cell joins what brute force joins: rows that ask against all, pairs that meet in an earlier band left out."""
+    rng = random.Random(band)
+    sets = [np.array(sorted(set(range(100)) - set(rng.sample(range(100), rng.randint(5, 12)))), np.uint64) for _ in range(40)]
+    low = np.zeros((40, simhash.MINIMA), np.uint8)
+    for k in range(40):
+        low[k, rng.sample(range(128), 18)] = k + 1
+    keys = np.array([[rng.randrange(12) for _ in range(simhash.BANDS)] for _ in range(40)])
+    plain = np.array([[band, 7, 0, 0, k, len(sets[k]), 0 if k < 10 else k, k < 10] for k in range(40)], np.int64)
+    rows = np.concatenate([plain, low.view(np.int64), keys], axis=1)
+    asking = rows[10:].copy()
+    asking[:, 3] = 1
+    got = simhash.cell_links(np.concatenate([rows, asking]), sets + sets[10:], 0.8, 116, 89)
+
+    def groups(pairs):
+        root = [0 if k < 10 else k for k in range(40)]
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+
+    fits = [(a, b) for a in range(40) for b in range(10, 40) if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    fits = [(a, b) for a, b in fits if (low[a] == low[b]).sum() >= 89 and not (keys[a, :band] == keys[b, :band]).any()]
+    assert groups(got) == groups(fits) and len(got) == 31 - len(set(groups(fits))) and 3 < len(got) < 31
+
+
 def test_near_duplicates_are_verified_and_other_partners_tried(spark):
     rng, rows, stay = random.Random(6), [], set()
     for k in range(40):
